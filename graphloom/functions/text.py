@@ -90,9 +90,8 @@ def clean_control(text: Column) -> Column:
 
 
 def _unquote(text: Column, left: str, right: str) -> Column:
-    inner = F.substring(text, F.lit(2), F.char_length(text) - 2)
-    alone = ~inner.contains(left) & ~inner.contains(right)
-    return F.when((F.char_length(text) >= 2) & text.startswith(left) & text.endswith(right) & alone, inner).otherwise(text)
+    """Without outer quotes, if there are none within."""
+    return F.regexp_replace(text, f"(?s)^{left}([^{left}{right}]*){right}$", "$1")
 
 
 def normalized_name(name: Column, inner_quotes: bool = False) -> Column:

@@ -357,8 +357,8 @@ def doc_md5_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, string_split(trim(text), ' ') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 40)) AS at FROM w)
-SELECT doc_id, at // 40 AS chunk_order_index, least(50, len(t) - at) AS tokens, trim(array_to_string(t[at + 1:at + 50], ' ')) AS content, 'chunk-' || md5(trim(array_to_string(t[at + 1:at + 50], ' '))) AS chunk_id FROM s"""
+    """WITH w AS (SELECT doc_id, string_split(trim(text), ' ') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, len(t), 40)) AS beg FROM w)
+SELECT doc_id, (beg / 40)::BIGINT AS chunk_order_index, least(50, len(t) - beg) AS tokens, trim(array_to_string(t[beg + 1:beg + 50], ' ')) AS content, 'chunk-' || md5(trim(array_to_string(t[beg + 1:beg + 50], ' '))) AS chunk_id FROM s"""
 )
 def chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return extract.token_windows(fx.table(spark, d, "documents"), 50, 10)
@@ -525,10 +525,10 @@ def bfs_subgraph_capped(spark: SparkSession, d: str) -> DataFrame:
     return graph.breadth_first(fx.places(spark, d), "n:0", depth=3, max_nodes=100)[0]
 
 
-@query(f"{_G}{_DEG}, top AS (SELECT entity_id FROM deg ORDER BY degree DESC, entity_id LIMIT 100) SELECT edge_id, src_id, tgt_id, keywords, weight FROM edges WHERE src_id IN (SELECT * FROM top) AND tgt_id IN (SELECT * FROM top)")
+@query(f"{_G}{_DEG}, top AS (SELECT entity_id FROM deg ORDER BY degree DESC, entity_id LIMIT 2500) SELECT edge_id, src_id, tgt_id, keywords, weight FROM edges WHERE src_id IN (SELECT * FROM top) AND tgt_id IN (SELECT * FROM top)")
 def induced_subgraph(spark: SparkSession, d: str) -> DataFrame:
     edges = fx.edges(spark, d)
-    return graph.induced(edges, graph.top_by_degree(edges, fx.nodes(spark, d), 100).select("entity_id"))
+    return graph.induced(edges, graph.top_by_degree(edges, fx.nodes(spark, d), 2500).select("entity_id"))
 
 
 @query(f"{_G}{_DEG} SELECT entity_id, degree, row_number() OVER (ORDER BY degree DESC, entity_id) AS rank FROM deg ORDER BY degree DESC, entity_id LIMIT 100")
@@ -566,7 +566,7 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT l_orderkey AS id, list('p' || l_partkey ORDER BY l_linenumber) AS xs, list('p' || l_partkey ORDER BY l_linenumber) FILTER (l_linenumber <= 2) AS old, list('p' || (l_partkey + l_linenumber % 2) ORDER BY l_linenumber) FILTER (l_linenumber >= 2) AS new FROM lineitem GROUP BY 1),
+    """WITH o AS (SELECT l_orderkey AS id, list('p' || l_partkey ORDER BY l_linenumber, 'p' || l_partkey) AS xs, list('p' || l_partkey ORDER BY l_linenumber, 'p' || l_partkey) FILTER (l_linenumber <= 2) AS old, list('p' || (l_partkey + l_linenumber % 2) ORDER BY l_linenumber, 'p' || l_partkey) FILTER (l_linenumber >= 2) AS new FROM lineitem GROUP BY 1),
 f AS (SELECT id, xs, coalesce(old, []) AS old, coalesce(new, []) AS new FROM o)
 SELECT id, array_to_string(list_filter(xs, lambda x: NOT list_contains(old, x)), ',') AS less, array_to_string(xs[-2:], ',') AS capped, len(list_distinct(xs || new))::BIGINT AS n_union,
   len(list_distinct(list_filter(xs, lambda x: NOT list_contains(list_filter(old, lambda y: NOT list_contains(new, y)), x)) || list_filter(new, lambda x: NOT list_contains(old, x))))::BIGINT AS n_delta FROM f"""
