@@ -66,7 +66,7 @@ def measure(texts: pa.Array) -> list:
 
 def mask_of(rules: tuple[str, ...]) -> int:
     names = list(RULES)
-    return sum(1 << names.index(r) for r in rules)
+    return sum(1 << names.index(r) for r in set(rules))
 
 
 def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
