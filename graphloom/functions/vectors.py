@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VECTOR_NAME = re.compile(r"embedding|vector|(?:^|_)emb(?:_|$)|(?:^|_)vec(?:_|$)", re.I)
 
@@ -39,7 +40,7 @@ def without_vectors(df):
     return df.select(*[strip(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if f.dataType.typeName() == "struct" else F.col(f"`{f.name}`") for f in kept])
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_float32(encoded: pd.Series) -> pd.Series:
     """base64 of little-endian float32 to a list; null for what doesn't decode."""
     import base64
@@ -54,7 +55,7 @@ def decode_float32(encoded: pd.Series) -> pd.Series:
     return encoded.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def encode_float32(vectors: pd.Series) -> pd.Series:
     import base64
 

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.vectors import cosine, literal
 from graphloom.schema import COSINE_THRESHOLD
@@ -102,7 +103,7 @@ def degree_among(hits: DataFrame, links: DataFrame) -> DataFrame:
 def embed(docs: DataFrame, text: str, function, dim: int, batch: int = 256, out: str = "embedding") -> DataFrame:
     """docs with function(list of texts) -> vectors, by batches within a partition; the hook for an embedding model."""
     ship(docs.sparkSession)
-    schema = docs.schema.add(out, "array<float>")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
