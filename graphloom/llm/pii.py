@@ -8,8 +8,8 @@ same name before '@'), each with the next such token, so that edges stay linear
 message passing enforces that such tokens agree; tokens of base spans are clamped to their kind. A token that isn't
 in a base span becomes a span if its marginal for a kind reaches MARGINAL.
 
-The potentials are learned from the base spans of at most TRAIN_DOCS documents of at most TRAIN_CHARS characters,
-chosen by a hash; everything else covers every text whole. Null and empty texts have no spans. Without documents to
+The potentials are learned from the base spans of about TRAIN_DOCS documents (twice as many at most) of at most
+TRAIN_CHARS characters, chosen by a hash of the text; everything else covers every text whole. Null and empty texts have no spans. Without documents to
 learn from only base spans remain. Repeated rows get equal results; extra columns are kept, but for those with the name
 of an output column. An empty table gives an empty result.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.cluster import fresh
-from graphloom.llm.scan import scan_text
+from graphloom.llm.scan import scan_text, text_sample
 from graphloom.llm.textkit import byte_blocks, per_row
 
 KINDS = ("email", "ip", "card", "phone")
@@ -218,10 +218,10 @@ class SkipChainCRF:
 
 
 def train(docs: DataFrame, text: str = "text", max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> SkipChainCRF:
-    """Learn from at most max_docs texts of at most max_chars characters that hold a digit or '@'."""
+    """Learn from about max_docs texts (twice as many at most) of at most max_chars characters that hold a digit or '@'."""
     column = F.col(f"`{text}`")
     some = docs.select(column.alias("text")).where(column.rlike("[0-9@]") & (F.length("text") <= max_chars))
-    texts = [r.text for r in some.orderBy(F.xxhash64(F.lit(5), "text"), "text").limit(max_docs).collect()]
+    texts = sorted(r.text for r in text_sample(some, "text", max_docs, seed=5).collect())
     return SkipChainCRF().fit(build(texts, [base_spans(x) for x in texts]))
 
 

@@ -33,3 +33,12 @@ def scan_text(df: DataFrame, text: str, fields: str | T.StructType, fn: TextFunc
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=out.names)
 
     return source.mapInArrow(run, out)
+
+
+def text_sample(texts: DataFrame, column: str, n: int, seed: int) -> DataFrame:
+    """About n different values of a column of strings, 2 * n at most, chosen by a hash of the value: a share of the hashes that
+    the number of different values fixes. What a task sends on is its part of the sample, however many tasks there are."""
+    value = F.col(f"`{column}`")
+    different = texts.agg(F.approx_count_distinct(F.xxhash64(value), 0.02).alias("n")).first().n
+    share = F.pmod(F.xxhash64(F.lit(seed), value), F.lit(1 << 40)) < int(min(1.0, n / max(different, 1)) * (1 << 40))
+    return texts.select(value.alias(column)).where(share).distinct().limit(2 * n)
