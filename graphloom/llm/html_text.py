@@ -8,7 +8,7 @@ references decoded, white space turned into one space, trimmed, empty blocks lef
 content (scripts, styles, menus, headers, footers, sidebars, forms, notices, adverts, reader comments) are left out
 of the region wherever they stand.
 
-The weights come from at most TRAIN_PAGES pages, chosen by a hash of the page; where none is labelled, PRIOR holds.
+The weights come from about TRAIN_PAGES pages (twice as many at most), chosen by a hash of the page; where none is labelled, PRIOR holds.
 Null, empty and wordless pages give an empty text. Broken markup never fails: an unclosed tag is text, an unclosed
 comment, script or style runs to the end. Repeated rows get the same text; extra columns are kept, but for those with
 the name of an output column. An empty table gives an empty result.
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.scan import scan_text
+from graphloom.llm.scan import scan_text, text_sample
 
 TRAIN_PAGES = 400
+TRAIN_CHARS = 100_000
 FLOOR = 0.05
 #: Scores without any labelled page: word, tag.
 PRIOR = (1.0, -2.0)
@@ -170,8 +171,8 @@ def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None,
     if weights is None:
         column = F.col(f"`{html}`")
         # of very long pages none is learned from, so that what comes to the driver is bounded
-        sample = pages.select(column.alias("html")).where(F.length("html").between(1, 200_000) & F.lower("html").rlike(r"<(article|main)\b"))
-        weights = learn([r.html for r in sample.orderBy(F.xxhash64("html"), "html").limit(train_pages).collect()])
+        sample = pages.select(column.alias("html")).where(F.length("html").between(1, TRAIN_CHARS) & F.lower("html").rlike(r"<(article|main)\b"))
+        weights = learn(sorted(r.html for r in text_sample(sample, "html", train_pages, seed=13).collect()))
     learned = weights
 
     def fields(column: pa.Array) -> list:
