@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontaminate, mixing, ngram_join, pii, quality_classifier
-from graphloom.llm.cluster import written
+from graphloom.llm.cluster import fresh, written
 
 
 def _wrapped(docs: DataFrame, *names: str) -> DataFrame:
@@ -42,7 +42,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document: the columns of documents, size, target, copies and copy."""
     mixed = mixing.mix(_wrapped(docs, "doc_id", "text", "source"), keep=["row"])
-    return mixed.where("copies > 0").select("row.*", "size", "target", "copies", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
+    named = [F.col(c).alias(fresh(c, docs.columns)) for c in ("size", "target", "copies")]
+    return mixed.where("copies > 0").select("row.*", *named, each.alias(fresh("copy", docs.columns)))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -1,6 +1,9 @@
 import corpus_pipeline
 from graphloom.llm import queries
 
+from .helpers import DOCS as SCHEMA
+from .helpers import awkward, empty
+
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,3 +32,15 @@ def test_stage_results_equal_their_operators(spark):
     clean = {r.doc_id: r.text for r in corpus_pipeline.personal_data(spark, docs, d).collect()}
     hit = {r.doc_id for r in queries.op6_personal_data(spark, d).where("spans <> ''").collect()}
     assert {r.doc_id for r in docs.collect() if r.text != clean[r.doc_id]} == hit and hit
+
+
+def test_awkward_and_empty_documents(spark):
+    """Nulls, empty and long texts, repeated rows, clashing columns and no rows at all go through every stage."""
+    d = "/root/testdata/sf0.001"
+    for docs in (awkward(spark), empty(spark, SCHEMA)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, d)
+            assert len(out.columns) == len(set(out.columns)) and set(docs.columns) <= set(out.columns), name
+            assert {str(r.doc_id) for r in out.select("doc_id").collect()} <= {str(r.doc_id) for r in docs.collect()}, name
+    assert {str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, awkward(spark), d).collect()} == {"1", "2", "3", "4", "6", "7", "8", "9", "None"}
+    assert corpus_pipeline.personal_data(spark, awkward(spark), d).count() == awkward(spark).count()
