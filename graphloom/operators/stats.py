@@ -52,3 +52,18 @@ def histogram(edges: DataFrame) -> DataFrame:
 
 def coverage(rows: DataFrame, column: str) -> DataFrame:
     return rows.agg(F.count(column).alias("present"), F.count("*").alias("total"), F.round(F.count(column) / F.count("*"), 6).alias("share"))
+
+
+def merge_savings(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, n_before, n_after, saved_percent): rows of a block before and after merging, 0 percent of nothing."""
+    both = before.groupBy(key).agg(F.count("*").alias("n_before")).join(after.groupBy(key).agg(F.count("*").alias("n_after")), key, "full_outer")
+    filled = both.select(key, F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+    share = F.when(F.col("n_before") > 0, F.round((F.col("n_before") - F.col("n_after")) * 100.0 / F.col("n_before"), 4)).otherwise(F.lit(0.0))
+    return filled.withColumn("saved_percent", share)
+
+
+def scaled(rows: DataFrame, column: str, low: float = 0.5, high: float = 2.0) -> DataFrame:
+    """rows with a column scaled between low and high by its least and largest value; low where they are equal."""
+    ends = rows.agg(F.min(column).alias("\x01a"), F.max(column).alias("\x01b"))
+    at = F.try_divide(F.col(column) - F.col("\x01a"), F.col("\x01b") - F.col("\x01a"))
+    return rows.crossJoin(F.broadcast(ends)).withColumn("scaled", F.round(F.coalesce(F.lit(low) + at * (high - low), F.lit(low)), 6)).drop("\x01a", "\x01b")

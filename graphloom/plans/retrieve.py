@@ -106,3 +106,31 @@ def merge_chunks(vector: DataFrame, of_entities: DataFrame, of_relations: DataFr
     """Chunks of three ranked lists in turn, each chunk once."""
     return interleave([vector, of_entities, of_relations], "id")
 
+
+
+def keywords(query: str, high: list[str], low: list[str], short: int = 50) -> tuple[list[str], list[str]]:
+    """Keywords of a query: as given; a short query without any stands for itself as a low-level one."""
+    if not high and not low and len(query) < short:
+        return [], [query]
+    return high, low
+
+
+def chunk_budget(total: int, prompt: int, context: int, query: int, reserve: int = 200) -> int:
+    """Tokens left for chunks once the prompt, the graph's context and the query are counted."""
+    return max(0, total - (prompt + context + query + reserve))
+
+
+def context(entities: DataFrame, relations: DataFrame, chunks: DataFrame, param: QueryParam, prompt: int = 0, query: int = 0) -> dict[str, DataFrame]:
+    """Ranked entities, relations and chunks(rank, text, tokens, ...) cut to their budgets; what the first two leave of the whole
+    goes to chunks. One row of sums comes to the driver."""
+    kept_e = within_budget(entities, "tokens", param.max_entity_tokens, ["rank"])
+    kept_r = within_budget(relations, "tokens", param.max_relation_tokens, ["rank"])
+    used = sum((df.agg(F.max("used")).first()[0] or 0) for df in (kept_e, kept_r))
+    left = chunk_budget(param.max_total_tokens, prompt, int(used), query)
+    return {"entities": kept_e, "relations": kept_r, "chunks": within_budget(chunks.limit(param.chunk_top_k) if "rank" not in chunks.columns else chunks.where(F.col("rank") <= param.chunk_top_k), "tokens", left, ["rank"])}
+
+
+def records(rows: DataFrame, kind: str, columns: dict[str, str], default: str = "UNKNOWN") -> DataFrame:
+    """(kind, rank, record): rows as JSON with the names a client expects; nulls become the default."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(name) for name, c in columns.items()]
+    return rows.select(F.lit(kind).alias("kind"), "rank", F.to_json(F.struct(*fields)).alias("record"))

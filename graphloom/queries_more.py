@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom import fixtures as fx
 from graphloom.functions import text
-from graphloom.operators import budget, extract, graph, hooks, maintain, merge
-from graphloom.plans import ingest
+from graphloom.operators import budget, extract, graph, hooks, maintain, merge, stats
+from graphloom.plans import ingest, retrieve
 from graphloom.queries import query
 from graphloom.schema import DIM1_TYPES, DIM2_TYPES, FIELD, OTHER_TYPE, SEP
 from graphloom.sources import tables
@@ -230,3 +230,50 @@ def standardize_entities(spark: SparkSession, d: str) -> DataFrame:
 def failed_files(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "part").select(F.col("p_brand").alias("file_path")).distinct()
     return rows.select("file_path", text.hashed_id("error-", F.concat(F.lit("part "), "file_path", F.lit("-bad"))).alias("id"), F.lit("failed").alias("status"))
+
+
+# --- context, reports --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH e AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank, (length(c_name) + 10)::BIGINT AS tokens FROM customer),
+r AS (SELECT s_suppkey AS id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS rank, (length(s_name) + 20)::BIGINT AS tokens FROM supplier),
+c AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank, n_chars AS tokens FROM documents),
+ke AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM e), kr AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM r), kc AS (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM c),
+u AS (SELECT (SELECT max(used) FROM ke WHERE used <= 600) + (SELECT max(used) FROM kr WHERE used <= 400) AS used)
+SELECT 'entities' AS part, id, rank, used::BIGINT AS used FROM ke WHERE used <= 600 UNION ALL SELECT 'relations', id, rank, used::BIGINT FROM kr WHERE used <= 400
+UNION ALL SELECT 'chunks', id, rank, kc.used::BIGINT FROM kc, u WHERE rank <= 20 AND kc.used <= 2000 - (100 + u.used + 30 + 200)"""
+)
+def context_build(spark: SparkSession, d: str) -> DataFrame:
+    def ranked(name: str, key: str, tokens, *by) -> DataFrame:
+        return fx.table(spark, d, name).select(F.col(key).alias("id"), tokens.cast("bigint").alias("tokens"), F.row_number().over(Window.orderBy(*by)).cast("bigint").alias("rank"))
+
+    e = ranked("customer", "c_custkey", F.char_length("c_name") + 10, F.desc("c_acctbal"), "c_custkey")
+    r = ranked("supplier", "s_suppkey", F.char_length("s_name") + 20, F.desc("s_acctbal"), "s_suppkey")
+    c = ranked("documents", "doc_id", F.col("n_chars"), F.col("n_chars"), "doc_id")
+    p = retrieve.QueryParam(max_entity_tokens=600, max_relation_tokens=400, max_total_tokens=2000, chunk_top_k=20)
+    parts = [df.select(F.lit(name).alias("part"), "id", "rank", "used") for name, df in retrieve.context(e, r, c, p, prompt=100, query=30).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("""SELECT 'entity' AS kind, c_custkey AS rank, '{"entity_name":"' || c_name || '","entity_type":"' || CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE c_mktsegment END || '"}' AS record FROM customer""")
+def client_records(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("rank"), "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("kind_of"))
+    return retrieve.records(rows, "entity", {"entity_name": "c_name", "entity_type": "kind_of"})
+
+
+@query("WITH a AS (SELECT p_type AS block, count(*) AS n_before, count(DISTINCT p_name) AS n_after FROM part GROUP BY 1) SELECT block, n_before, n_after, round((n_before - n_after) * 100.0::DOUBLE / n_before, 4) AS saved_percent FROM a")
+def merge_savings(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(spark, d, "part").select(F.col("p_type").alias("block"), "p_name")
+    return stats.merge_savings(rows, rows.distinct(), "block")
+
+
+@query(f"WITH {fx.NODES_SQL}, {fx.EDGES_SQL}, g AS (SELECT a AS entity_id, count(*) AS degree FROM sym GROUP BY 1) SELECT entity_id, degree, round(0.5::DOUBLE + (degree - (SELECT min(degree) FROM g))::DOUBLE / ((SELECT max(degree) FROM g) - (SELECT min(degree) FROM g)) * 1.5::DOUBLE, 6) AS scaled FROM g")
+def node_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return stats.scaled(graph.degrees(fx.edges(spark, d)), "degree")
+
+
+@query("SELECT l_returnflag AS key, count(*) AS n, round(avg(l_quantity), 6) AS mean, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS kinds FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1")
+def filtered_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
+    return rows.groupBy(F.col("l_returnflag").alias("key")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("kinds"))
