@@ -6,7 +6,9 @@ groups are the connected components of links. No cap or sample is used anywhere.
 
 1. Documents with equal sets are one class, named by a hash of the set. Classes, not documents, go on.
 2. Shingles travel as packed arrays to a bucket of their hash, are counted there, and those that stand in two
-   classes or more go back to their class. A class of n shingles needs T = ceil(PERCENT% of n) common ones with any
+   classes or more go back to their class. Very common ones (a share of HEAVY or more of all classes, found by counts within
+   batches; fewer than the mean set size / HEAVY * 2, so they are broadcast) don't travel: they go from where they are read to
+   their class and stand last in the order, so that no bucket gathers a row for each class that has one. A class of n shingles needs T = ceil(PERCENT% of n) common ones with any
    partner, so one with fewer repeated shingles than T is done: it has no partner. What is left is close to the
    true near-duplicates, and the repeated shingles alone give all overlaps.
 3. In order of (frequency, hash), partners share one of the first n - T + 1 shingles of each (its short lists).
@@ -47,6 +49,8 @@ K = 4
 PERCENT = 85
 CHUNK = 1024
 HEAP = 256
+HEAVY = 0.002
+_HEAVY_LEAST = 16  # classes of a batch; below, a shingle is not worth a row of counts
 _MU = 0.0085  # of the paper: how much probing a list costs against merging it
 _BLOCK_TOKENS = 1 << 21
 
@@ -79,6 +83,38 @@ def _sizes(k: int):
     return fields
 
 
+_COUNTS = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+
+
+def _sizes_and_common(k: int, share: float, least: int):
+    """As _sizes, and on the last row of a batch its shingles that at least half of the share of its classes have, with their counts."""
+
+    def fields(texts: pa.Array) -> list:
+        n, sig, sets = [], [], {}
+        for x in shingle_sets(texts, k):
+            n.append(len(x))
+            sig.append(signature(x))
+            if sig[-1] is not None:
+                sets[sig[-1]] = x
+        common: list = [None] * len(n)
+        if sets:
+            tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+            often = counts >= max(least, share * len(sets) / 2)
+            common[-1] = [{"token": t, "n": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
+        return [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(common, _COUNTS)]
+
+    return fields
+
+
+def common_shingles(base: DataFrame, share: float) -> np.ndarray:
+    """The shingles that half of the share of all classes have, by the counts of batches. Which these are changes no result, only
+    the way that shingles take."""
+    classes = base.agg(F.approx_count_distinct("sig").alias("n")).first().n
+    counted = base.where("common is not null").select(F.explode("common").alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n"))
+    rows = counted.where(F.col("n") >= share * classes / 2).select("token").toArrow().column(0).to_numpy()
+    return np.sort(rows.astype(np.int64).view(np.uint64))
+
+
 def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
@@ -98,17 +134,38 @@ def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+_MOST = (1 << 32) - 1
+
+
+def _by_group(groups: int, name: np.ndarray, *others: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Columns dealt by the class: (group, packed)."""
+    group = (name % groups).astype(np.int32)
+    order = np.argsort(group, kind="stable")
+    cut = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cut)):
+        yield int(g), _pack(*(x[order[cut[g] : cut[g + 1]]] for x in (name, *others)))
+
+
 _BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
 
-def _deal_shingles(k: int, buckets: int):
-    """Texts to (bucket, packed: class ids, their set sizes, shingles, index of the shingle's class)."""
+def _deal_shingles(k: int, buckets: int, common):
+    """Texts to (bucket, packed: class ids, their set sizes, shingles, index of the shingle's class), and for common shingles to
+    (buckets + class group, packed as _repeated does)."""
 
     def flush(sets: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
         if not sets:
             return
         sizes = np.array([len(s) for s in sets], np.uint32)
         tokens, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        heavy = common.value
+        if len(heavy):
+            is_heavy = heavy[np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)] == tokens
+            who = of[is_heavy]
+            name = np.array(ids, np.int64)[who]
+            for g, blob in _by_group(buckets, name, sizes[who], tokens[is_heavy], np.full(len(who), _MOST, np.uint32)):
+                yield pa.RecordBatch.from_arrays([pa.array([buckets + g], pa.int32()), pa.array([blob], pa.binary())], schema=_BLOBS)
+            tokens, of = tokens[~is_heavy], of[~is_heavy]
         bucket = ((tokens >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -142,6 +199,8 @@ def _repeated(groups: int):
     """One bucket of shingles to (class group, packed: class, set size, shingle, frequency) of those in two classes or more."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        if int(key[0]) >= groups:  # common shingles on their way to their classes
+            return pd.DataFrame({"bucket": int(key[0]) - groups, "blob": pdf["blob"]})
         names, sizes, tokens, of, base = [], [], [], [], 0
         for blob in pdf["blob"]:
             n, s, t, o = _unpack(blob, np.int64, np.uint32, np.uint64, np.uint16)
@@ -167,11 +226,8 @@ def _repeated(groups: int):
         starts = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
         freq = np.repeat(np.diff(np.concatenate((starts, [len(t)]))), np.diff(np.concatenate((starts, [len(t)])))) if len(t) else np.zeros(0, np.int64)
         ok = freq >= 2
-        t, name, n, freq = t[ok], name[ok], sizes[row[ok]], np.minimum(freq[ok], (1 << 32) - 1).astype(np.uint32)
-        group = (name % groups).astype(np.int32)
-        order = np.argsort(group, kind="stable")
-        cut = np.searchsorted(group[order], np.arange(groups + 1))
-        rows = [(int(g), _pack(*(x[order[cut[g] : cut[g + 1]]] for x in (name, n, t, freq)))) for g in np.flatnonzero(np.diff(cut))]
+        t, name, n, freq = t[ok], name[ok], sizes[row[ok]], np.minimum(freq[ok], _MOST - 1).astype(np.uint32)
+        rows = list(_by_group(groups, name, n, t, freq))
         return pd.DataFrame(rows, columns=["bucket", "blob"])
 
     return run
@@ -185,6 +241,9 @@ def _survivors(percent: int):
         name, n, t, freq = (np.concatenate([p[i] for p in parts]) for i in range(4))
         order = np.lexsort((t, freq, name))
         name, n, t = name[order], n[order], t[order]
+        # common shingles come from every task that saw a copy
+        once = np.concatenate(([True], (name[1:] != name[:-1]) | (t[1:] != t[:-1])))
+        name, n, t = name[once], n[once], t[once]
         starts = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         ends = np.concatenate((starts[1:], [len(name)]))
         rows = [(int(name[a]), int(n[a]), t[a:b].tobytes()) for a, b in zip(starts, ends, strict=True) if b - a >= needed(int(n[a]), percent)]
@@ -330,17 +389,18 @@ def _verify(percent: int):
     return run
 
 
-def class_links(docs: DataFrame, text: str, k: int, percent: int, chunk: int) -> DataFrame:
+def class_links(docs: DataFrame, text: str, common: np.ndarray, k: int, percent: int, chunk: int) -> DataFrame:
     """(a, b): links between classes that join every component of links."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 60_000)
     blob = "bucket int, blob binary"
-    dealt = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_deal_shingles(k, buckets), blob)
+    dealt = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_deal_shingles(k, buckets, spark.sparkContext.broadcast(common)), blob)
     back = dealt.groupBy("bucket").applyInPandas(_repeated(buckets), blob)
     classes = written(back.groupBy("bucket").applyInPandas(_survivors(percent), "sig bigint, n bigint, tokens binary"))
     short = classes.mapInArrow(_prefixes(percent), "token bigint, sig bigint")
-    leaders = short.groupBy("token").agg(F.min("sig").alias("leader"))
+    # written, so that the join has a plain exchange on either side and adaptive execution can split a hot shingle
+    leaders = written(short.groupBy("token").agg(F.min("sig").alias("leader"), F.count("*").alias("n")).where("n > 1").select("token", "leader"))
     candidates = written(short.join(leaders, "token").where("sig <> leader").select("sig", "leader").distinct())
     blocks = written(connected_components(candidates).select(F.col("node").alias("sig"), F.col("root").alias("block")))
     sized = written(blocks.groupBy("block").agg(F.count("*").alias("size")))
@@ -372,15 +432,16 @@ def class_links(docs: DataFrame, text: str, k: int, percent: int, chunk: int) ->
     rows = cells.select("sig", "block", "family", F.explode("cells").alias("c")).select("sig", "block", "family", "c.role", "c.chunk", "c.part").join(classes, "sig")
     found = rows.groupBy("block", "chunk", "part").applyInPandas(_search_block(percent), "a bigint, b bigint")
     links = written(by_leader.union(found))
-    for table in (candidates, blocks, sized, members, classes):
+    for table in (leaders, candidates, blocks, sized, members, classes):
         drop(table)
     return links
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT, chunk: int = CHUNK, heavy: float = HEAVY, heavy_least: int = _HEAVY_LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, sig, family): one row for each document; family is a name of the group, null without shingles."""
-    base = written(scan_text(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", "n_shingles bigint, sig bigint", _sizes(k), ["doc_id"]))
-    groups = connected_components(class_links(docs, text, k, percent, chunk))
+    base = written(scan_text(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", "n_shingles bigint, sig bigint, common array<struct<token:bigint,n:bigint>>", _sizes_and_common(k, heavy, heavy_least), ["doc_id"]))
+    groups = connected_components(class_links(docs, text, common_shingles(base, heavy), k, percent, chunk))
+    base = base.drop("common")
     classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     named = written(classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("family")))
     lowest = named.groupBy("family").agg(F.min("low").alias("component_id"))

@@ -54,10 +54,11 @@ def families(seed):
     return rows + [(3000 + i, shared + " " + " ".join(g.choice(pool) for _ in range(g.randint(0, 40)))) for i in range(60)]
 
 
-@pytest.mark.parametrize("chunk", [1024, 16])
-def test_components_equal_brute_force(spark, chunk):
-    rows = families(3) + [(5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a B"), (5005, "a"), (5003, "A b"), (None, "a b"), (None, None)]
-    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk)
+@pytest.mark.parametrize(("chunk", "heavy"), [(1024, {}), (16, {"heavy": 0.02, "heavy_least": 2}), (64, {"heavy": 0.3, "heavy_least": 2})])
+def test_components_equal_brute_force(spark, chunk, heavy):
+    rows = families(3)
+    rows += [(9000 + i, t.upper()) for i, (_, t) in enumerate(rows[::3])] + [(5000, None), (5001, ""), (5002, " \n"), (5003, "A b"), (5004, "a B"), (5005, "a"), (5003, "A b"), (None, "a b"), (None, None)]
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk, **heavy)
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in got.collect()) == brute(rows)
 
 
