@@ -8,7 +8,9 @@ another; strings are judged on the input. The result is exact up to 64-bit hashe
    that repeats does so among the segments of its minimizer.
 2. Segments travel as packed arrays to a bucket of their minimizer. Equal segments within a block of texts are
    settled there and sent on once, so that a passage that a third of all texts share is a row per block. A minimizer that is
-   met once is done. A segment met twice is repeated as a whole.
+   met once is done. A segment met twice is repeated as a whole. Segments of a very common minimizer (a share of COMMON or more
+   of all texts, found by counts within blocks; few, so they are broadcast) are dealt by their content instead, so that
+   no bucket gathers a row for each text around a passage.
 3. What is left are minimizers with different segments: ends of shared passages, mostly. Their bytes are sorted by a
    two-stage suffix array (Itoh and Tanaka, 1999): suffixes smaller than their successor are sorted directly, the
    others induced from them by one scan over the buckets of first bytes. Neighbours with a common prefix of WINDOW
@@ -40,9 +42,12 @@ from graphloom.shipping import ship
 WINDOW = 200
 K = 64
 CHUNK = 2048
+COMMON = 0.002
+_COMMON_LEAST = 64  # different segments of a block; below, a minimizer is not worth a row of counts
 _PIECE = 1 << 22
 _BLOCK_SEGMENTS = 1 << 19
 _BATCH_BYTES = 1 << 21
+_PARTS = 4096  # chunks of one common minimizer in a bucket
 
 
 def text_key(raw: np.ndarray) -> int:
@@ -131,9 +136,67 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate((np.flatnonzero(new), [n]))
 
 
-def _deal_segments(buckets: int, window: int, k: int):
-    """Texts to packed segments (kind 0: minimizer, content, text key, start, starts, occurrences, places; by bucket of
-    the minimizer) and settled ones (kind 1: the same columns, by bucket of the text)."""
+def _segment_blocks(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator[tuple[list[np.ndarray], int]]:
+    """([text key, start, starts, minimizer, content, places] in order of minimizer and content, texts) for blocks of texts; a text is taken once in a while, however many copies follow."""
+    parts, total, texts, seen = [], 0, 0, set()
+
+    def block() -> tuple[list[np.ndarray], int]:
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(6)]
+        order = np.lexsort((columns[4], columns[3]))
+        return [c[order] for c in columns], texts
+
+    for batch in batches:
+        for _, raw, off in byte_blocks(batch.column(0)):
+            keys = np.array([text_key(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], np.int64)
+            fresh = np.array([x not in seen and (seen.add(x) or True) for x in keys.tolist()])
+            if len(raw) > _PIECE:  # one long text, in pieces that share all but the first byte of a window
+                pieces = [(s, raw[s : s + _PIECE + window - 1]) for s in range(0, max(1, len(raw) - window + 1), _PIECE)] if fresh[0] else []
+                got = [(s, segments(p, np.array([0, len(p)]), window, k)) for s, p in pieces]
+            else:
+                got = [(0, segments(raw, off, window, k))]
+            if len(seen) > 200_000:
+                seen.clear()
+            texts += int(fresh.sum())
+            for s, (row, start, size, h, content, places) in got:
+                ok = fresh[row]
+                parts.append((keys[row[ok]], start[ok] + s, size[ok], h[ok], content[ok], places[ok]))
+                total += int(ok.sum())
+        if total >= _BLOCK_SEGMENTS:
+            yield block()
+            parts, total, texts = [], 0, 0
+    if parts:
+        yield block()
+
+
+def _count_common(window: int, k: int, share: float, least: int):
+    """Texts to (minimizer, different segments in a block) of those with at least half of the share of the block's texts."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("texts", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, _, h, content, _), texts in _segment_blocks(batches, window, k):
+            different = h[_runs(h, content)[:-1]]
+            cut = _runs(different)
+            n = np.diff(cut)
+            often = n >= max(least, share * texts / 2)
+            some = different[cut[:-1]][often].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((some, [0]))), pa.array(np.concatenate((n[often], [0]))), pa.array(np.concatenate((np.zeros(len(some), np.int64), [texts])))], schema=schema)
+
+    return run
+
+
+def common_minimizers(texts: DataFrame, window: int, k: int, share: float, least: int) -> np.ndarray:
+    """The minimizers with different segments in half of the share of all texts, by the counts of blocks. Which these are changes
+    no result, only the way that segments take. There are fewer than 2 / share times the segments of a mean text."""
+    counted = written(texts.mapInArrow(_count_common(window, k, share, least), "h bigint, n bigint, texts bigint"))
+    every = counted.agg(F.sum("texts").alias("n")).first().n or 0
+    rows = counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= share * every / 2).select("h").toArrow().column(0).to_numpy()
+    drop(counted)
+    return np.sort(rows.astype(np.int64).view(np.uint64))
+
+
+def _deal_segments(buckets: int, window: int, k: int, common):
+    """Texts to packed segments (kind 0, by bucket of the minimizer, and kind 2, of common minimizers by bucket of the content:
+    minimizer, content, text key, start, starts, occurrences, places) and settled ones (kind 1: the same columns, by bucket of the text)."""
     schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("blob", pa.binary())])
 
     def send(kind: int, columns: list[np.ndarray], by: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -144,41 +207,20 @@ def _deal_segments(buckets: int, window: int, k: int):
             part = order[cut[b] : cut[b + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([b], pa.int32()), pa.array([_pack([c[part] for c in columns])], pa.binary())], schema=schema)
 
-    def flush(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
-        key, start, size, h, content, places = (np.concatenate([p[i] for p in parts]) for i in range(6))
-        order = np.lexsort((content, h))
-        key, start, size, h, content, places = (x[order] for x in (key, start, size, h, content, places))
-        runs = _runs(h, content)
-        times = np.diff(runs)
-        columns = [h, content, key, start, size, np.repeat(times, times), places]
-        yield from send(0, [c[runs[:-1]] for c in columns], h[runs[:-1]] >> np.uint64(8))
-        again = np.repeat(times, times) > 1
-        if again.any():
-            yield from send(1, [c[again] for c in columns], key[again].astype(np.uint64))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, total, seen = [], 0, set()
-        for batch in batches:
-            for _, raw, off in byte_blocks(batch.column(0)):
-                keys = np.array([text_key(raw[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)], np.int64)
-                fresh = np.array([x not in seen and (seen.add(x) or True) for x in keys.tolist()])
-                if len(raw) > _PIECE:  # one long text, in pieces that share all but the first byte of a window
-                    pieces = [(s, raw[s : s + _PIECE + window - 1]) for s in range(0, max(1, len(raw) - window + 1), _PIECE)] if fresh[0] else []
-                    got = [(s, segments(p, np.array([0, len(p)]), window, k)) for s, p in pieces]
-                else:
-                    got = [(0, segments(raw, off, window, k))]
-                if len(seen) > 200_000:
-                    seen.clear()
-                for s, (row, start, size, h, content, places) in got:
-                    ok = fresh[row]
-                    parts.append((keys[row[ok]], start[ok] + s, size[ok], h[ok], content[ok], places[ok]))
-                    total += int(ok.sum())
-            if total >= _BLOCK_SEGMENTS:
-                yield from flush(parts)
-                parts, total = [], 0
-        yield from flush(parts)
+        heavy = common.value
+        for (key, start, size, h, content, places), _ in _segment_blocks(batches, window, k):
+            runs = _runs(h, content)
+            times = np.diff(runs)
+            columns = [h, content, key, start, size, np.repeat(times, times), places]
+            one = [c[runs[:-1]] for c in columns]
+            is_heavy = heavy[np.minimum(np.searchsorted(heavy, one[0]), len(heavy) - 1)] == one[0] if len(heavy) else np.zeros(len(one[0]), bool)
+            for kind, some, by in ((0, ~is_heavy, one[0] >> np.uint64(8)), (2, is_heavy, one[1] >> np.uint64(8))):
+                if some.any():
+                    yield from send(kind, [c[some] for c in one], by[some])
+            again = np.repeat(times, times) > 1
+            if again.any():
+                yield from send(1, [c[again] for c in columns], key[again].astype(np.uint64))
 
     return run
 
@@ -207,11 +249,14 @@ def _settle(chunk: int):
         different = np.diff(groups)
         total = np.add.reduceat(met * np.maximum.reduceat(places, first), groups[:-1]) if len(first) else met
         one_left = np.add.reduceat((met == 1).astype(np.int64), groups[:-1]) > 0 if len(first) else np.zeros(0, bool)
-        sort = (total > 1) & one_left
+        sort = (total > 1) & one_left | (int(key[0]) == 2)  # segments of a common minimizer have others in other buckets
         rows = first[np.repeat(sort, different)]
         chunks = -(-np.repeat(different[sort], different[sort]) // chunk)
+        part = ((content[rows] >> np.uint64(20)) % chunks.astype(np.uint64)).astype(np.int64)
+        if int(key[0]) == 2:
+            part, chunks = part % _PARTS + int(key[1]) * _PARTS, np.full(len(rows), 2)
         a = pd.DataFrame({"kind": 1, "key": text[whole], "start": start[whole].astype(np.int32), "size": size[whole].astype(np.int32), "h": 0, "chunk": 0, "chunks": 0})
-        b = pd.DataFrame({"kind": 2, "key": text[rows], "start": start[rows].astype(np.int32), "size": size[rows].astype(np.int32), "h": h[rows].astype(np.int64), "chunk": ((content[rows] >> np.uint64(20)) % chunks.astype(np.uint64)).astype(np.int32), "chunks": chunks.astype(np.int32)})
+        b = pd.DataFrame({"kind": 2, "key": text[rows], "start": start[rows].astype(np.int32), "size": size[rows].astype(np.int32), "h": h[rows].astype(np.int64), "chunk": part.astype(np.int32), "chunks": chunks.astype(np.int32)})
         return pd.concat([a, b], ignore_index=True)
 
     return run
@@ -422,19 +467,21 @@ def _keys(texts: pa.Array) -> list:
     return [pa.array([text_key(raw[a:b]) for _, raw, off in byte_blocks(texts) for a, b in zip(off[:-1], off[1:], strict=True)], pa.int64())]
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, chunk: int = CHUNK, with_kept: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, chunk: int = CHUNK, with_kept: bool = False, common: float = COMMON, common_least: int = _COMMON_LEAST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept (bytes left; null unless wanted): a row for each row of docs."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 60_000)
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     keyed = scan_text(texts, "text", "key bigint", _keys, ["doc_id", "text"])
     copies = keyed.where(F.octet_length("text") >= window).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("whole"))
-    dealt = texts.select("text").mapInArrow(_deal_segments(buckets, window, k), _DEALT)
+    heavy = spark.sparkContext.broadcast(common_minimizers(texts.select("text"), window, k, common, common_least))
+    dealt = texts.select("text").mapInArrow(_deal_segments(buckets, window, k, heavy), _DEALT)
     found = written(dealt.groupBy("kind", "bucket").applyInPandas(_settle(chunk), _FOUND))
     spans = found.where("kind = 1").groupBy("key").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     wanted = found.where("kind = 2").groupBy("key").agg(F.collect_list(F.struct("h", "chunk", "chunks", "start", "size")).alias("wanted"))
-    known = copies.join(spans, "key", "full_outer").join(wanted, "key", "full_outer")
+    # written, so that the join has a plain exchange on either side and adaptive execution can split the copies of one text
+    known = written(copies.join(spans, "key", "full_outer").join(wanted, "key", "full_outer"))
     # the one shuffle of all texts; those with open segments are kept for the second half
     joined = written(keyed.join(known, "key", "left").select("doc_id", "text", "whole", "spans", "wanted", "key"))
     open_texts = joined.where("wanted is not null").groupBy("key").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
@@ -447,5 +494,6 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
     settled = joined.where("wanted is null").select("doc_id", "text", "whole", "spans", F.lit(None).cast("array<struct<start:int,size:int>>").alias("more"))
     rest = joined.where("wanted is not null").join(more, "key", "left").select("doc_id", "text", "whole", "spans", "more")
     drop(found)
+    drop(known)
     kind = docs.schema[doc_id].dataType.simpleString()
     return settled.union(rest).mapInArrow(_finish(window, with_kept), f"doc_id {kind}, {FIELDS}")

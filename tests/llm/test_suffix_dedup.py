@@ -37,8 +37,8 @@ def test_suffix_array(data, letters):
     assert [key(i) for i in order] == sorted(key(i) for i in range(len(raw)))
 
 
-@pytest.mark.parametrize("chunk", [2048, 8])
-def test_equal_to_brute_force(spark, chunk):
+@pytest.mark.parametrize(("chunk", "common"), [(2048, {}), (8, {}), (2048, {"common": 0.02, "common_least": 2}), (4, {"common": 0.02, "common_least": 2})])
+def test_equal_to_brute_force(spark, chunk, common):
     g = random.Random(2)
     shared, rows = sentences(5, 5, (50, 70)), []
     for i, t in enumerate(sentences(6, 200, (20, 150))):
@@ -49,7 +49,7 @@ def test_equal_to_brute_force(spark, chunk):
             parts = parts[:1] * 3
         rows.append((i, " ".join(parts)))
     rows += [(900, None), (901, ""), (902, "x" * 1000), (903, "xy" * 400), (904, rows[3][1]), (904, rows[3][1]), (905, "x" * 150), (None, shared[0]), (906, "\x00" * 500)]
-    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk)
+    got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), chunk=chunk, **common)
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == sorted((str(d), *x) for (d, _), x in zip(rows, brute([t for _, t in rows]), strict=True))
 
 
