@@ -6,7 +6,7 @@ softmax(w . (tanh(V h) * sigmoid(U h))) over the passages, weighs them, and the
 vector; both are learned together from document labels only (after Ilse et al., 2018, "Attention-based deep multiple
 instance learning"), by Adam from a fixed seed.
 
-The model is fitted on at most TRAIN_DOCS labelled rows, chosen by a hash of the id, whose texts have at most
+The model is fitted on about TRAIN_DOCS labelled rows (twice as many at most), chosen by a hash of the id, whose texts have at most
 TRAIN_PASSAGES passages together with their document's; scoring covers every text whole. Only the text is an input.
 
 Null and empty texts are one passage of zeros, with a score like any other. Labels that are null, or that differ for
@@ -149,9 +149,12 @@ def held_out(doc_id) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_docs: int = TRAIN_DOCS, max_passages: int = TRAIN_PASSAGES) -> AttentionModel | None:
     """Fit on the labelled rows that aren't held out; None without any. What comes to the driver is bounded by
-    max_docs * max_passages vectors at most."""
+    2 * max_docs * max_passages vectors."""
     usable = labels.where(~held_out(doc_id)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2 and doc_id is not null")
-    chosen = usable.select("doc_id", "y").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(max_docs)
+    usable = usable.select("doc_id", "y")
+    share = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) < int(min(1.0, max_docs / max(usable.count(), 1)) * (1 << 40))
+    # ids are different here, so a share of the hashes is about max_docs rows; the limit only guards the bound
+    chosen = usable.where(share).limit(2 * max_docs)
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def vectors(column: pa.Array) -> list:
