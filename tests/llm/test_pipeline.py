@@ -3,6 +3,7 @@ from graphloom.llm import queries
 
 from .helpers import DOCS as SCHEMA
 from .helpers import awkward, empty
+from .test_ngram_join import families, sets_of
 
 DOCS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,3 +45,20 @@ def test_awkward_and_empty_documents(spark):
             assert {str(r.doc_id) for r in out.select("doc_id").collect()} <= {str(r.doc_id) for r in docs.collect()}, name
     assert {str(r.doc_id) for r in corpus_pipeline.near_duplicates(spark, awkward(spark), d).collect()} == {"1", "2", "3", "4", "6", "7", "8", "9", "None"}
     assert corpus_pipeline.personal_data(spark, awkward(spark), d).count() == awkward(spark).count()
+
+
+def lowest_of_groups(rows, k, percent):
+    sets, low = sets_of([t for _, t in rows], k), [d for d, _ in rows]
+    links = [(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if 100 * len(x & y) >= percent * len(x | y)]
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    return sorted(set(low))
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = families(5) + [(1, "A b c d"), (2, "a b c D"), (3, "a b c e")]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], SCHEMA)
+    want = lowest_of_groups(rows, 5, 80)
+    assert want != lowest_of_groups(rows, 4, 85)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
