@@ -108,14 +108,13 @@ def extract_plan(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def merge_plan(spark: SparkSession, d: str) -> DataFrame:
     ents = _graph_entities(spark, d)
-    rels = fx.places(spark, d).withColumn("description", F.col("keywords"))
-    roots = ents.select(F.col("pos").alias("id"), F.min("pos").over(Window.partitionBy("dim2")).alias("root"))
+    rels = fx.edges(spark, d).withColumn("description", F.col("keywords"))
+    roots = ents.join(ents.groupBy("dim2").agg(F.min("pos").alias("root")), "dim2").select(F.col("pos").alias("id"), "root")
     return ingest.merge_graph(ents, rels, roots)[1]
 
 
 def _graph_entities(spark: SparkSession, d: str) -> DataFrame:
-    rows = fx.nodes(spark, d).where("dim1 in ('nation', 'region', 'supplier')")
-    return rows.withColumn("pos", F.row_number().over(Window.orderBy("entity_id"))).withColumn("source_id", F.concat(F.lit("chunk-"), "entity_id"))
+    return fx.nodes(spark, d).withColumns({"pos": F.col("entity_id"), "source_id": F.concat(F.lit("chunk-"), "entity_id")})
 
 
 @query(
