@@ -36,7 +36,7 @@ TRAIN_DOCS = 1500
 TRAIN_CHARS = 50_000
 MAX_GAP = 3
 MARGINAL = 0.9
-ROUNDS = 12
+SETTLED = 1e-4
 _DIM = 1 << 13
 _LABELS = 1 + len(KINDS)
 
@@ -177,8 +177,11 @@ class SkipChainCRF:
             self.skip = np.where(np.eye(_LABELS, dtype=bool), np.maximum(self.skip, 1.0), np.minimum(self.skip, -1.0))
         return self
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Loopy sum-product over all texts of g at once, damped; clamped where a base label is."""
+    def marginals(self, g: Graph, rounds: int | None = None) -> np.ndarray:
+        """Loopy sum-product over all texts of g at once, damped; clamped where a base label is.
+
+        It goes on until no message changes by SETTLED; where messages keep swinging, for 200 rounds more than the longest text has tokens.
+        """
         local = self.unary[g.features].sum(1)
         fixed = g.label > 0
         local[fixed] = -30.0
@@ -190,14 +193,18 @@ class SkipChainCRF:
         back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
         message = np.zeros((len(source), _LABELS))
         belief = local.copy()
-        for _ in range(rounds if len(source) else 0):
+        most = rounds if rounds is not None else 200 + int(np.bincount(g.doc).max())
+        for _ in range(most if len(source) else 0):
             out = (belief[source] - message[back])[:, :, None] + potential
             top = out.max(1, keepdims=True)
             new = np.log(np.exp(out - top).sum(1)) + top[:, 0]
             new -= new.max(1, keepdims=True)
+            change = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
             belief = local.copy()
             np.add.at(belief, target, message)
+            if rounds is None and change < SETTLED:
+                break
         q = np.exp(belief - belief.max(1, keepdims=True))
         return q / q.sum(1, keepdims=True)
 

@@ -79,3 +79,13 @@ def test_find_and_redact(spark):
     text = {str(x.doc_id): x.text for x in clean.collect()}
     assert text["21"] == "card [CARD]" and text["20"].startswith("mail [EMAIL], [IP]") and text["1"] is None and text["4"] == "one two three"
     assert pii.find(empty(spark)).count() == 0 and pii.redact(empty(spark)).count() == 0
+
+
+def test_messages_settle():
+    import numpy as np
+
+    text = "call +1 (212) 555-1234 now. " + "then later the same year5551234 again " * 30
+    g = pii.build([text], [pii.base_spans(text)])
+    model = _model()
+    assert np.allclose(model.marginals(g), model.marginals(g, 2000), atol=1e-3)
+    assert not np.allclose(model.marginals(g, 12), model.marginals(g, 2000), atol=1e-3)
