@@ -96,10 +96,10 @@ degrees AS (SELECT id, coalesce(d, 0)::BIGINT AS degree FROM vecs LEFT JOIN (SEL
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, pos, file_path, chunk_id, response): for each supplier a document; for each of its first parts by number
+    """(doc_id, pos, file_path, chunk_id, response): for each supplier a document; for each of its parts
     a chunk whose response names the part, the supplier and how they relate."""
     t = lambda n: table(spark, sf_dir, n)
-    pairs = t("lineitem").where("l_linenumber = 1").select("l_suppkey", "l_partkey").distinct()
+    pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
     rows = pairs.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     field = lambda *parts: F.concat_ws(FIELD, *parts)
     doc, part = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")
@@ -115,7 +115,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RAW_SQL = """raw AS (
   SELECT l_suppkey AS doc_id, l_partkey AS pos, 'doc-' || l_suppkey AS file_path, 'chunk-' || l_suppkey || '-' || l_partkey AS chunk_id, p.*, s.*
-  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linenumber = 1) JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey),
+  FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part p ON p_partkey = l_partkey JOIN supplier s ON s_suppkey = l_suppkey),
 ent AS (
   SELECT doc_id, pos, 1 AS ord, file_path, chunk_id, p_name AS name, p_brand AS dim1, p_type AS dim2, 'part ' || pos AS description FROM raw
   UNION ALL SELECT doc_id, pos, 2, file_path, chunk_id, s_name, 'supplier', 'nation ' || s_nationkey, 'supplier of ' || p_brand FROM raw),

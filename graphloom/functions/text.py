@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -113,15 +113,39 @@ def normalized_name(name: Column, inner_quotes: bool = False) -> Column:
     return F.when(s.rlike(r"^[0-9]{1,2}$") | (s.rlike(r"^[0-9.]{1,5}$") & s.contains(".")), "").otherwise(s)
 
 
-#: Forms in which a damaged field delimiter shows up, in the order in which they are mended.
-DAMAGED = (
-    r"<\|#\|*?#\|>", r"<\|\\#\|>", r"<\|+>", r"<.?\|#\|.?>", r"<\|?#\|?>", r"<[^|]#\|>|<\|#[^|]>", r"<\|#\|+(?!>)", r"<\|#:(?!>)",
-    r"<\|+#>", r"<\|\|(?!>)", r"(?<!<)\|#\|>", r"<\|#\|>\|", r"\|\|#\|\|",
-)
+def _damaged_markers() -> str:
+    """One pattern for a field marker whose sides or core are damaged. A marker is a left side (bracket, bar), a core and a
+    right side (bar, bracket)."""
+    bar, core = re.escape(FIELD[1]), re.escape(FIELD[2:-2])
+    sides = {
+        "right": (f"<{bar}", f"{bar}>"),
+        "with a stray character": (f"<.?{bar}", f"{bar}.?>"),
+        "with or without its bar": (f"<{bar}?", f"{bar}?>"),
+        "with another character for its bar": (f"<[^{bar}]", f"[^{bar}]>"),
+        "with too many bars": (f"<{bar}+", f"{bar}+>"),
+        "of two bars": (bar * 2, bar * 2),
+        "of a bar alone": (f"(?<!<){bar}", f"{bar}+(?!>)"),
+        "of a colon": (":", ":(?!>)"),
+        "of a bracket alone": ("<", ">"),
+    }
+    cores = {"right": core, "doubled": f"{core}{bar}*{core}", "escaped": rf"\\{core}"}
+    found = (
+        ("right", "doubled", "right"), ("right", "escaped", "right"), ("with a stray character", "right", "with a stray character"),
+        ("with or without its bar", "right", "with or without its bar"), ("with another character for its bar", "right", "right"), ("right", "right", "with another character for its bar"),
+        ("with too many bars", "right", "of a bracket alone"), ("right", "right", "of a bar alone"), ("right", "right", "of a colon"), ("of a bar alone", "right", "right"), ("of two bars", "right", "of two bars"),
+    )
+    whole = [sides[left][0] + cores[middle] + sides[right][1] for left, middle, right in found]
+    without_core = [f"<{bar}+>", f"<{bar}{{2}}(?!{bar}*(?:>|{core}))"]
+    # a bar that follows a closed marker belongs to it
+    return f"(?:{'|'.join(whole + without_core)})(?:(?<=>){bar})?"
+
+
+DAMAGED = _damaged_markers()
 
 
 def mend_delimiters(record: Column) -> Column:
-    return functools.reduce(lambda s, pattern: F.regexp_replace(s, pattern, FIELD), DAMAGED, record)
+    """record with every damaged field marker made whole, in one pass."""
+    return F.regexp_replace(record, DAMAGED, FIELD)
 
 
 def known_keywords(keywords: Column) -> Column:

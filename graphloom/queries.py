@@ -133,7 +133,7 @@ def rerank_degree(spark: SparkSession, d: str) -> DataFrame:
 
 def _pagerank_sql(rounds: int, nodes: str, pairs: str) -> str:
     steps = [f"r0 AS (SELECT id, 0.15::DOUBLE AS pr FROM {nodes})", f"outs AS (SELECT a, count(*) AS n FROM {pairs} GROUP BY a)"]
-    steps += [f"r{k} AS (SELECT x.id, 0.15 + 0.85 * coalesce(s, 0) AS pr FROM {nodes} x LEFT JOIN (SELECT b, sum(pr / n) AS s FROM {pairs} JOIN r{k - 1} ON id = {pairs}.a JOIN outs ON outs.a = {pairs}.a GROUP BY b) ON b = x.id)" for k in range(1, rounds + 1)]
+    steps += [f"r{k} AS MATERIALIZED (SELECT x.id, 0.15 + 0.85 * coalesce(s, 0) AS pr FROM {nodes} x LEFT JOIN (SELECT b, sum(pr / n) AS s FROM {pairs} JOIN r{k - 1} ON id = {pairs}.a JOIN outs ON outs.a = {pairs}.a GROUP BY b) ON b = x.id)" for k in range(1, rounds + 1)]
     return ", ".join(steps)
 
 
@@ -172,11 +172,11 @@ def vector_then_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {fx.VECTORS_SQL}, cand AS (SELECT DISTINCT o_custkey % 500 AS id FROM orders)
+    f"""WITH {fx.VECTORS_SQL}, cand AS (SELECT DISTINCT o_custkey AS id FROM orders)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits WHERE id IN (SELECT id FROM cand) ORDER BY score DESC, id LIMIT 15"""
 )
 def vector_chunk_pick(spark: SparkSession, d: str) -> DataFrame:
-    wanted = fx.table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("id")).distinct()
+    wanted = fx.table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
     some = fx.vectors(spark, d).join(wanted, "id", "left_semi")
     return vector.top_k(some, fx.query_vector(spark, d), 15, threshold=None).select("id", "score", "rank")
 
@@ -379,12 +379,12 @@ def parse_relations(spark: SparkSession, d: str) -> DataFrame:
     return extract.relations(fx.responses(spark, d))
 
 
-@query(f"WITH {fx.RAW_SQL} SELECT chunk_id, ord, name || '{FIELD}' || dim1 || '{FIELD}' || dim2 AS record FROM ent")
+@query(f"WITH {fx.RAW_SQL} SELECT chunk_id, ord, name || '{FIELD}' || dim1 || '{FIELD}' || dim2 || ' a|b #1 <p> |# <>' AS record FROM ent")
 def delimiter_repair(spark: SparkSession, d: str) -> DataFrame:
     rows = extract.entities(fx.responses(spark, d))
-    forms = ["<|##|>", "<|>", "<||#||>", "<#|>", "<|#|", "|#|>"]
+    forms = ["<|#|>", "<|##|>", "<|#||#|>", "<|\\#|>", "<|>", "<||>", "<x|#|>", "<|#|y>", "<x|#|y>", "<||#||>", "<#>", "<#|>", "<|#>", "<x#|>", "<|#x>", "<|#|", "<|#||", "<|#:", "<||#>", "<||", "|#|>", "<|#|>|", "||#||"]
     at = lambda k: F.element_at(F.array(*[F.lit(x) for x in forms]), (F.pmod(F.col("pos") + k, F.lit(len(forms))) + 1).cast("int"))
-    return rows.select("chunk_id", (F.col("ord") + 1).alias("ord"), text.mend_delimiters(F.concat("name", at(0), "dim1", at(1), "dim2")).alias("record"))
+    return rows.select("chunk_id", (F.col("ord") + 1).alias("ord"), text.mend_delimiters(F.concat("name", at(0), "dim1", at(1), "dim2", F.lit(" a|b #1 <p> |# <>"))).alias("record"))
 
 
 @query("SELECT p_partkey, p_name AS plain, p_name AS quoted, p_name AS wide, CASE WHEN p_size < 10 THEN '' ELSE p_size::VARCHAR END AS number, p_name || '图论' || p_brand AS mixed FROM part")
@@ -496,7 +496,7 @@ def neighbors_both(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(fx.edges(spark, d), fx.nodes(spark, d), _seeds(spark, "c:1", "s:1", "n:3"))
 
 
-@query(f"{_G} SELECT e.a AS seed, e.b AS middle, f.b AS target, e.weight + f.weight AS weight FROM sym e JOIN sym f ON f.a = e.b WHERE e.a = 's:2'")
+@query(f"{_G}, hop AS MATERIALIZED (SELECT * FROM sym WHERE a = 's:2'), second AS MATERIALIZED (SELECT * FROM sym WHERE a IN (SELECT b FROM hop)) SELECT e.a AS seed, e.b AS middle, f.b AS target, e.weight + f.weight AS weight FROM hop e JOIN second f ON f.a = e.b")
 def two_hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.two_hops(fx.edges(spark, d), _seeds(spark, "s:2"))
 
@@ -520,7 +520,10 @@ def bfs_subgraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.breadth_first(fx.places(spark, d), "n:0", depth=3, max_nodes=1_000_000)[0]
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {fx.PLACES_SQL}, s AS (SELECT src_id AS a, tgt_id AS b FROM places UNION ALL SELECT tgt_id, src_id FROM places), walk AS (SELECT 'n:0' AS entity_id, 0::BIGINT AS level UNION SELECT b, level + 1 FROM walk JOIN s ON a = entity_id WHERE level < 3),
+met AS (SELECT entity_id, min(level) AS level FROM walk GROUP BY 1), deg AS (SELECT a AS entity_id, count(*) AS degree FROM s GROUP BY 1) SELECT entity_id, level FROM met JOIN deg USING (entity_id) ORDER BY level, degree DESC, entity_id LIMIT 100"""
+)
 def bfs_subgraph_capped(spark: SparkSession, d: str) -> DataFrame:
     return graph.breadth_first(fx.places(spark, d), "n:0", depth=3, max_nodes=100)[0]
 
@@ -555,10 +558,9 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
     return graph.text_search(fx.nodes(spark, d), "n:1")
 
 
-@query(f"WITH {fx.NODES_SQL}, {fx.PLACES_SQL}, ids AS (SELECT entity_id AS id FROM nodes WHERE dim1 IN ('nation', 'region', 'supplier')), pairs AS (SELECT src_id AS a, tgt_id AS b FROM places WHERE src_id NOT LIKE 'c:%' UNION ALL SELECT tgt_id, src_id FROM places WHERE src_id NOT LIKE 'c:%'), {_pagerank_sql(8, 'ids', 'pairs')} SELECT id AS entity_id, round(pr, 6) AS pagerank FROM r8")
+@query(f"WITH {fx.NODES_SQL}, {fx.EDGES_SQL}, ids AS (SELECT entity_id AS id FROM nodes), pairs AS MATERIALIZED (SELECT a, b FROM sym), {_pagerank_sql(8, 'ids', 'pairs')} SELECT id AS entity_id, round(pr, 6) AS pagerank FROM r8")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    some = fx.nodes(spark, d).where("dim1 in ('nation', 'region', 'supplier')")
-    ranks = graph.pagerank(fx.places(spark, d).where("not startswith(src_id, 'c:')"), some, rounds=8, cut_every=4)
+    ranks = graph.pagerank(fx.edges(spark, d), fx.nodes(spark, d), rounds=8, cut_every=4)
     return ranks.select("entity_id", F.round("pagerank", 6).alias("pagerank"))
 
 
@@ -597,14 +599,7 @@ def round_robin_merge(spark: SparkSession, d: str) -> DataFrame:
     return budget.interleave([x, y], "id")
 
 
-def _owners(spark: SparkSession, d: str) -> DataFrame:
-    docs = fx.table(spark, d, "documents").where("lang = 'fr'").groupBy(F.col("source").alias("owner")).agg(F.array_sort(F.collect_list("doc_id")).alias("chunks"))
-    from pyspark.sql import Window
-
-    return docs.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.size("chunks")), "owner")))
-
-
-_OWN = "own AS (SELECT *, row_number() OVER (ORDER BY len(chunks) DESC, owner) AS pos, len(chunks) AS size FROM (SELECT source AS owner, list(doc_id ORDER BY doc_id) AS chunks FROM documents WHERE lang = 'fr' GROUP BY 1))"
+_OWN = "own AS (SELECT *, row_number() OVER (ORDER BY len(chunks) DESC, owner) AS pos, len(chunks) AS size FROM (SELECT source AS owner, list(doc_id ORDER BY doc_id) AS chunks FROM documents GROUP BY 1))"
 
 
 @query(
@@ -614,7 +609,7 @@ t AS (SELECT owner, pos, chunks[1:(least(size, quota) + greatest(0, least(spare,
 SELECT owner, pos, (unnest(range(len(taken))))::INT AS i, unnest(taken) AS chunk FROM t"""
 )
 def weighted_polling(spark: SparkSession, d: str) -> DataFrame:
-    return budget.weighted_polling(_owners(spark, d), 12).select("owner", F.col("pos").cast("bigint").alias("pos"), "i", "chunk")
+    return budget.weighted_polling(fx.table(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("chunk")), 12)
 
 
 @query("SELECT row_number() OVER (ORDER BY count(*) DESC, min(doc_id))::VARCHAR AS reference_id, source AS file_path, count(*) AS n FROM documents GROUP BY source")
@@ -627,9 +622,9 @@ def chunk_occurrence(spark: SparkSession, d: str) -> DataFrame:
     return budget.by_occurrence(fx.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("owner"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.col("l_partkey").alias("chunk")))
 
 
-@query(f"WITH {fx.RAW_SQL} SELECT name, chunk_id, doc_id, pos, CASE WHEN pos % 2 = 0 THEN 'available' ELSE 'not_found' END AS status FROM (SELECT DISTINCT name, chunk_id, doc_id, pos FROM ent) WHERE doc_id < 20")
+@query(f"WITH {fx.RAW_SQL} SELECT name, chunk_id, doc_id, pos, CASE WHEN pos % 2 = 0 THEN 'available' ELSE 'not_found' END AS status FROM (SELECT DISTINCT name, chunk_id, doc_id, pos FROM ent)")
 def entity_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.entities(fx.responses(spark, d).where("doc_id < 20"))
+    rows = extract.entities(fx.responses(spark, d))
     wanted = rows.select("name", "chunk_id", "doc_id", "pos").distinct()
     stored = rows.where("pos % 2 = 0").select("chunk_id", F.lit("available").alias("status")).distinct()
     return tables.get_many(stored, wanted, "chunk_id").select("name", "chunk_id", "doc_id", "pos", F.coalesce("status", F.lit("not_found")).alias("status"))

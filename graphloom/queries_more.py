@@ -118,15 +118,15 @@ def _graph_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH ch AS (SELECT 's' || doc_id AS source_id, 'chunk-' || md5(trim(text, ' ')) AS chunk_id FROM documents WHERE doc_id < 100), e AS (SELECT 'c:' || c_custkey AS entity_id, 's' || (c_custkey % 200) AS source_id FROM customer WHERE c_custkey < 400),
-r AS (SELECT 'c:' || o_custkey AS a, 'o:' || (o_orderkey % 50) AS b FROM orders WHERE o_custkey < 500), miss AS (SELECT DISTINCT x FROM (SELECT a AS x FROM r UNION ALL SELECT b FROM r) WHERE x NOT IN (SELECT entity_id FROM e))
+    """WITH ch AS (SELECT 's' || doc_id AS source_id, 'chunk-' || md5(trim(text, ' ')) AS chunk_id FROM documents), e AS (SELECT 'c:' || c_custkey AS entity_id, 's' || (c_custkey % 200) AS source_id FROM customer),
+r AS (SELECT 'c:' || o_custkey AS a, 'o:' || (o_orderkey % 50) AS b FROM orders), miss AS (SELECT DISTINCT x FROM (SELECT a AS x FROM r UNION ALL SELECT b FROM r) WHERE x NOT IN (SELECT entity_id FROM e))
 SELECT entity_id, coalesce(chunk_id, 'UNKNOWN') AS chunk_id FROM e LEFT JOIN ch USING (source_id) UNION ALL SELECT x, 'UNKNOWN' FROM miss"""
 )
 def custom_graph(spark: SparkSession, d: str) -> DataFrame:
-    chunks = fx.table(spark, d, "documents").where("doc_id < 100").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), F.col("text").alias("content"))
-    c = fx.table(spark, d, "customer").where("c_custkey < 400")
+    chunks = fx.table(spark, d, "documents").select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("source_id"), F.col("text").alias("content"))
+    c = fx.table(spark, d, "customer")
     entities = c.select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("entity_name"), F.concat(F.lit("s"), (F.col("c_custkey") % 200).cast("string")).alias("source_id"), F.lit("customer").alias("dim1"))
-    o = fx.table(spark, d, "orders").where("o_custkey < 500")
+    o = fx.table(spark, d, "orders")
     relations = o.select(F.concat(F.lit("c:"), F.col("o_custkey").cast("string")).alias("src_id"), F.concat(F.lit("o:"), (F.col("o_orderkey") % 50).cast("string")).alias("tgt_id"), F.lit("s1").alias("source_id"))
     return ingest.insert_custom(chunks, entities, relations)[1].select("entity_id", "chunk_id")
 

@@ -57,3 +57,11 @@ def test_packing(tokens, limit):
     assert [p for g in groups for p in g] == [p for _, p in parts]
     size = dict((p, n) for n, p in parts)
     assert all(len(g) <= 2 or sum(size[p] for p in g) <= limit for g in groups)
+
+
+def test_damaged_markers(spark):
+    forms = ["<|##|>", "<|#||#|>", "<|#|||#|>", "<|\\#|>", "<|>", "<||>", "<X|#|>", "<|#|Y>", "<X|#|Y>", "<||#||>", "<#>", "<#|>", "<|#>", "<X#|>", "<|#X>", "<|#|", "<|#||", "<|#:", "<||#>", "<||", "|#|>", "<|#|>|", "||#||", "<|#|>"]
+    whole = ["a|b", "#", "<p>", "a < b > c", "##", "|#", "#|", "<>", "a#b", "<X#Y>", "<b>|</b>"]
+    rows = spark.createDataFrame([(f"a{x}b", True) for x in forms] + [(x, False) for x in whole] + [(None, False)], "s string, mended boolean")
+    for r in rows.select("*", text.mend_delimiters(rows.s).alias("out")).collect():
+        assert r.out == ("a<|#|>b" if r.mended else r.s), r
