@@ -97,25 +97,27 @@ FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
 
 
 def op10() -> str:
-    forms, weights = licenses._FORMS, licenses._IDF
-    table = ", ".join(f"({k}, '{name}', '{w}', {weights[w]!r}::DOUBLE)" for k, (name, form) in enumerate(forms) for w in sorted(set(form)))
-    known = ", ".join(f"('{w}', {x!r}::DOUBLE)" for w, x in weights.items())
-    hint = licenses.HINT
+    forms = licenses.forms()
+    words = ", ".join(f"({k}, '{w}')" for k, (_, form, _) in enumerate(forms) for w in form)
+    names = ", ".join(f"({k}, '{name}', {len(form)}, {behind})" for k, (name, form, behind) in enumerate(forms))
     return f"""
-WITH forms(k, name, word, idf) AS (VALUES {table}), idfs(word, idf) AS (VALUES {known}),
-lengths AS (SELECT k, sqrt(sum(idf * idf)) AS size FROM forms GROUP BY k),
-docs AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, coalesce(text, '') AS t FROM documents),
-lines AS (SELECT r, row_number() OVER () AS ln, line FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{hint}')),
-words AS (SELECT DISTINCT r, ln, unnest(regexp_extract_all(lower(line), '{licenses.WORD}')) AS word FROM lines),
-norms AS (SELECT ln, sqrt(sum(coalesce(idf, {licenses._UNKNOWN!r}) * coalesce(idf, {licenses._UNKNOWN!r}))) AS norm FROM words LEFT JOIN idfs USING (word) GROUP BY ln),
-cosines AS (SELECT w.r, w.ln, f.name, sum(f.idf * f.idf) / (any_value(n.norm) * any_value(z.size)) AS c FROM words w JOIN forms f USING (word) JOIN norms n USING (ln) JOIN lengths z USING (k) GROUP BY w.r, w.ln, f.k, f.name),
-best AS (SELECT r, ln, name, c FROM (SELECT *, row_number() OVER (PARTITION BY ln ORDER BY c DESC, name) AS rank FROM cosines) WHERE rank = 1 AND c >= {licenses.THRESHOLD}),
-spoken AS (SELECT r, sum(len(regexp_extract_all(line, '{_WORD}'))) AS n FROM best JOIN lines USING (r, ln) GROUP BY r),
-own AS (SELECT r, name, c FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY c DESC, name) AS rank FROM best) WHERE rank = 1),
+WITH fw(k, word) AS (VALUES {words}), form(k, name, len, behind) AS (VALUES {names}), vocab AS (SELECT DISTINCT word FROM fw),
+docs AS (SELECT row_number() OVER () AS r, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR || '.txt') AS path, lower(text) AS t FROM documents),
+dfs AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(t, '{licenses.WORD}'))) AS word FROM docs) JOIN vocab USING (word) GROUP BY word),
+idfs AS (SELECT word, ln((1 + (SELECT count(t) FROM docs)) / (1 + coalesce(n, 0))::DOUBLE) + 1 AS idf FROM vocab LEFT JOIN dfs USING (word)),
+lengths AS (SELECT k, sqrt(sum(idf * idf)) AS size FROM fw JOIN idfs USING (word) GROUP BY k),
+lines AS (SELECT r, string_split(t, chr(10)) AS ls FROM docs WHERE t IS NOT NULL),
+spans AS (SELECT r, ls, s, unnest(range(1, {licenses.WINDOW} + 1)) AS n FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS s FROM lines)),
+units AS (SELECT row_number() OVER () AS u, r, text FROM (
+  SELECT r, array_to_string(ls[s:s + n - 1], chr(10)) AS text FROM spans UNION SELECT r, unnest(string_split_regex(t, '{licenses.BLANK_LINES}')) FROM docs
+  UNION SELECT r, t FROM docs WHERE regexp_matches(split_part(path, '/', -1), '{licenses.NAMED}'))),
+words AS (SELECT DISTINCT u, r, word FROM (SELECT u, r, unnest(regexp_extract_all(text, '{licenses.WORD}')) AS word FROM units) WHERE NOT regexp_matches(word, '{licenses._YEAR}')),
+norms AS (SELECT u, sqrt(sum(coalesce(idf, (SELECT avg(idf) FROM idfs)) ** 2)) AS norm FROM words LEFT JOIN idfs USING (word) GROUP BY u),
+cosines AS (SELECT w.r, w.u, f.k, round(sum(i.idf * i.idf) / (any_value(n.norm) * any_value(z.size)), 6) AS c FROM words w JOIN fw f USING (word) JOIN idfs i USING (word) JOIN norms n USING (u) JOIN lengths z USING (k) GROUP BY w.r, w.u, f.k),
+own AS (SELECT r, name, c FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY behind, c DESC, len DESC, name) AS rank FROM cosines JOIN form USING (k) WHERE c >= {licenses.THRESHOLD}) WHERE rank = 1),
 files AS (
-  SELECT d.*, o.name AS own_license, round(o.c, 6) AS similarity, regexp_replace(path, '/?[^/]*$', '') AS dir,
-    o.name IS NOT NULL AND 2 * s.n >= len(regexp_extract_all(t, '{_WORD}')) AS speaks
-  FROM docs d LEFT JOIN own o USING (r) LEFT JOIN spoken s USING (r)),
+  SELECT d.*, o.name AS own_license, o.c AS similarity, regexp_replace(path, '/?[^/]*$', '') AS dir, o.name IS NOT NULL AND regexp_matches(split_part(path, '/', -1), '{licenses.NAMED}') AS speaks
+  FROM docs d LEFT JOIN own o USING (r)),
 votes AS (SELECT dir, own_license, count(*) AS n FROM files WHERE speaks GROUP BY ALL),
 held AS (SELECT dir AS licensed_by, own_license AS inherited FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY n DESC, own_license) AS rank FROM votes) WHERE rank = 1),
 near AS (
