@@ -36,10 +36,10 @@ def data():
     return docs, items
 
 
-@pytest.mark.parametrize(("part_bytes", "parts"), [(16 << 20, 2), (200, 2)])
-def test_equal_to_brute_force(spark, part_bytes, parts):
+@pytest.mark.parametrize(("part_bytes", "parts", "piece"), [(16 << 20, 2, 100_000), (16 << 20, 2, 7), (4000, 2, 7)])
+def test_equal_to_brute_force(spark, part_bytes, parts, piece):
     docs, items = data()
-    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes, parts=parts)
+    got = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes, parts=parts, piece=piece)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == brute(docs, items)
 
 
@@ -60,3 +60,28 @@ def test_awkward_and_empty(spark):
     assert {str(r.doc_id) for r in decontaminate.decontaminate(rows, bench).where("contaminated").collect()} == {"4"}
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     assert decontaminate.decontaminate(rows, empty(spark, "item_id long, text string")).where("contaminated").count() == 0
+
+
+def test_the_set_stays_within_its_stated_size():
+    import pickle
+
+    words = [f"w{i * 7919 % 100_003}" for i in range(200_000)]
+    items = [(str(i), " ".join(words[i * 100 : i * 100 + 100])) for i in range(2000)]
+    built = decontaminate.NgramSet(items, 10)
+    assert len(pickle.dumps(built, 5)) <= sum(len(t) + 64 for _, t in items) + decontaminate.WINDOW_BYTES * len(words)
+
+
+def test_windows_that_share_a_hash(monkeypatch):
+    """Words decide, not hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    real = decontaminate.row_grams
+    monkeypatch.setattr(decontaminate, "row_grams", lambda words, first, k: (real(words, first, k)[0], real(words, first, k)[1] % np.uint64(3)))
+    docs, items = data()
+    names = [(None if i is None else str(i), t) for i, t in items if t is not None]
+    built = decontaminate.NgramSet(names, 10)
+    found = decontaminate._find([built], None, pa.array([t for _, t in docs], pa.string()))
+    report = decontaminate._report(pa.array([t for _, t in docs], pa.string()), found)
+    got = sorted((str(d), *(c[k].as_py() for c in report[:5])) for k, (d, _) in enumerate(docs))
+    assert got == brute(docs, items)
