@@ -67,12 +67,17 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+#: Edges of a node from which on it can be hot, and the parts that its edges are dealt into.
+HOT = 500
+SALTS = 32
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of edges(a, b); root is the smallest node that links reach.
 
     Alternates large-star and small-star until no edge changes, which takes about the logarithm of the longest
-    chain. A node with very many edges is a row per edge in a join on its key, which adaptive execution splits,
-    and its minimum is pre-aggregated before the shuffle. Null ends, self-links and repeated edges are ignored
+    chain. The edges of a hot node are dealt into SALTS parts by their other end, and its minimum is pre-aggregated
+    before the shuffle, so that no task holds them all. Null ends, self-links and repeated edges are ignored
     (a node with self-links only has a row with itself as root). An empty table gives an empty one.
     """
     kind = edges.schema[edges.columns[0]].dataType
@@ -85,12 +90,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node goes to the smallest node of its neighbourhood
         both = now.where("u <> v").select("u", "v").union(now.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        # nodes with a five-hundredth of all ends or more, so fewer than 500: their edges are dealt by the other end
+        edges_now = low.agg(F.sum("n").alias("n")).first().n or 0
+        hot = low.where(F.col("n") > F.lit(max(HOT, edges_now // 500))).select("u", F.lit(SALTS).alias("salts"))
+        salted = both.join(F.broadcast(hot), "u", "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("v"), "salts").cast("int")).otherwise(0)).drop("salts")
+        copies = low.join(F.broadcast(hot), "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        large = salted.join(copies, ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: every smaller neighbour, and the node itself, goes to the smallest of them
         mins = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(mins, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = written(small)
+        drop(low)
         mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now is not first:
             drop(now)

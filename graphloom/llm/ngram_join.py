@@ -15,9 +15,9 @@ groups are the connected components of links. No cap or sample is used anywhere.
    Every class is joined to the smallest class of each such shingle; the components of that graph are blocks, and
    partners never lie in different blocks.
 4. Within a block an inverted index answers each class by DivideSkip (Li, Lu and Lu, 2008): the longest lists are
-   set aside, the short ones merged, and classes that occur often enough are probed by binary search in the
-   long ones. A heap merges up to HEAP postings of a query; above, one stable sort of the concatenated runs does.
-5. A block of more than CHUNK classes is dealt into chunks. First each class is compared with the leaders from
+   set aside, the short ones merged by a heap that skips what can't occur often enough, and a class that does is
+   probed by binary search in the long lists, until it is sure to reach the overlap or to miss it.
+5. A block of more than CHUNK classes is dealt into chunks. First each class is searched among its leaders from
    step 3, which joins most of a large family; then the classes outside the block's largest family are queries
    against all its chunks, in blocks of CHUNK queries. So no task holds a large block, pairs within a family are not
    enumerated, and still every link between two families is found.
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -48,9 +49,9 @@ from graphloom.shipping import ship
 K = 4
 PERCENT = 85
 CHUNK = 1024
-HEAP = 256
+BUCKET_BYTES = 48 << 20
 HEAVY = 0.002
-_HEAVY_LEAST = 16  # classes of a batch; below, a shingle is not worth a row of counts
+_HEAVY_LEAST = 16  # classes of a block of texts; below, a shingle is not worth a row of counts
 _MU = 0.0085  # of the paper: how much probing a list costs against merging it
 _BLOCK_TOKENS = 1 << 21
 
@@ -86,28 +87,49 @@ def _sizes(k: int):
 _COUNTS = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
 
 
-def _sizes_and_common(k: int, share: float, least: int):
-    """As _sizes, and on the last row of a batch its shingles that at least half of the share of its classes have, with their counts."""
+def _sizes_and_common(k: int, share: float, least: int, names: list[str]):
+    """Rows (id, text) to names: id, n_shingles, sig, and common, which is null but on the last row of a block of texts (of about
+    _BLOCK_TOKENS shingles, however small batches are): the shingles that at least half of the share of the block's classes have, with their counts."""
 
-    def fields(texts: pa.Array) -> list:
-        n, sig, sets = [], [], {}
-        for x in shingle_sets(texts, k):
-            n.append(len(x))
-            sig.append(signature(x))
-            if sig[-1] is not None:
-                sets[sig[-1]] = x
-        common: list = [None] * len(n)
-        if sets:
-            tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-            often = counts >= max(least, share * len(sets) / 2)
-            common[-1] = [{"token": t, "n": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
-        return [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(common, _COUNTS)]
+    def count(sets: dict[int, np.ndarray]) -> list | None:
+        if not sets:
+            return None
+        tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        often = counts >= max(least, share * len(sets) / 2)
+        return [{"token": t, "n": c} for t, c in zip(tokens[often].view(np.int64).tolist(), counts[often].tolist(), strict=True)]
 
-    return fields
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
+        total, held = 0, None
+
+        def made(held: tuple, common: list | None) -> pa.RecordBatch:
+            ids, n, sig = held
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array([None] * (len(n) - 1) + [common], _COUNTS)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held:
+                full = total >= _BLOCK_TOKENS
+                yield made(held, count(sets) if full else None)
+                if full:
+                    sets, total = {}, 0
+            n, sig = [], []
+            for x in shingle_sets(batch.column(1), k):
+                n.append(len(x))
+                sig.append(signature(x))
+                if sig[-1] is not None and sig[-1] not in sets:
+                    sets[sig[-1]] = x
+                    total += len(x)
+            held = (batch.column(0), n, sig)
+        if held:
+            yield made(held, count(sets))
+
+    return run
 
 
 def common_shingles(base: DataFrame, share: float) -> np.ndarray:
-    """The shingles that half of the share of all classes have, by the counts of batches. Which these are changes no result, only
+    """The shingles that half of the share of all classes have, by the counts of blocks. Which these are changes no result, only
     the way that shingles take."""
     classes = base.agg(F.approx_count_distinct("sig").alias("n")).first().n
     counted = base.where("common is not null").select(F.explode("common").alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n"))
@@ -141,9 +163,9 @@ def _by_group(groups: int, name: np.ndarray, *others: np.ndarray) -> Iterator[tu
     """Columns dealt by the class: (group, packed)."""
     group = (name % groups).astype(np.int32)
     order = np.argsort(group, kind="stable")
-    cut = np.searchsorted(group[order], np.arange(groups + 1))
-    for g in np.flatnonzero(np.diff(cut)):
-        yield int(g), _pack(*(x[order[cut[g] : cut[g + 1]]] for x in (name, *others)))
+    edges = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(group[order[a]]), _pack(*(x[order[a:b]] for x in (name, *others)))
 
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
@@ -166,13 +188,17 @@ def _deal_shingles(k: int, buckets: int, common):
             for g, blob in _by_group(buckets, name, sizes[who], tokens[is_heavy], np.full(len(who), _MOST, np.uint32)):
                 yield pa.RecordBatch.from_arrays([pa.array([buckets + g], pa.int32()), pa.array([blob], pa.binary())], schema=_BLOBS)
             tokens, of = tokens[~is_heavy], of[~is_heavy]
-        bucket = ((tokens >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16)
+        bucket = ((tokens >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint32)
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
         names = np.array(ids, np.int64)
-        for b in np.flatnonzero(np.diff(cut)):
-            part = order[cut[b] : cut[b + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_pack(names, sizes, tokens[part], of[part])], pa.binary())], schema=_BLOBS)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            part = order[a:b]
+            # a stable order keeps the classes of a bucket together
+            mine = of[part]
+            new = np.concatenate(([True], mine[1:] != mine[:-1]))
+            used = mine[new]
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[part[0]])], pa.int32()), pa.array([_pack(names[used], sizes[used], tokens[part], (np.cumsum(new) - 1).astype(np.uint16))], pa.binary())], schema=_BLOBS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, ids, total, seen = [], [], 0, set()
@@ -274,62 +300,72 @@ class DivideSkip:
     """An inverted index over sets of shingles, for one block or chunk of one."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, percent: int = PERCENT) -> None:
-        self.percent, self.sizes = percent, np.asarray(sizes, np.int64)
-        self.sets = [np.sort(s) for s in sets]
-        tokens = np.concatenate(self.sets) if sets else np.zeros(0, np.uint64)
+        self.percent, self.sizes = percent, [int(n) for n in sizes]
+        tokens = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
         docs = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.argsort(tokens, kind="stable")
+        order = np.lexsort((docs, tokens))
         self.vocabulary, starts = np.unique(tokens[order], return_index=True)
-        self.docs, self.cut = docs[order], np.concatenate((starts, [len(tokens)]))
-
-    def _merge(self, lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(documents, occurrences) of sorted lists."""
-        if sum(map(len, lists)) <= HEAP:
-            found: dict[int, int] = {}
-            for d in heapq.merge(*(x.tolist() for x in lists)):
-                found[d] = found.get(d, 0) + 1
-            return np.array(list(found), np.int64), np.array(list(found.values()), np.int64)
-        merged = np.sort(np.concatenate(lists), kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], merged[1:] != merged[:-1])))
-        return merged[starts], np.diff(np.concatenate((starts, [len(merged)])))
-
-    def search(self, tokens: np.ndarray, n: int, wanted: np.ndarray | None = None) -> np.ndarray:
+        # list i is docs[cut[i] : cut[i + 1]], ascending
+        self.docs, self.cut = docs[order].tolist(), np.concatenate((starts, [len(tokens)]))
+
+    def _merge(self, lists: list[tuple[int, int]], least: int) -> Iterator[tuple[int, int]]:
+        """(document, occurrences) of those that stand in least or more of the lists (places in docs), by a heap of the lists' fronts.
+
+        Where the smallest front doesn't occur often enough, least - 1 fronts are taken from the heap and their lists skip by binary
+        search to the next smallest front: no document before it can be in least lists."""
+        docs = self.docs
+        heap = [(docs[at], at, end) for at, end in lists]
+        heapq.heapify(heap)
+        while len(heap) >= least:
+            front = heap[0][0]
+            taken = []
+            while heap and heap[0][0] == front:
+                taken.append(heapq.heappop(heap))
+            if len(taken) >= least:
+                yield front, len(taken)
+                target = front + 1
+            else:
+                while heap and len(taken) < least - 1:
+                    taken.append(heapq.heappop(heap))
+                if not heap:
+                    return
+                target = max(front + 1, heap[0][0])
+            for value, at, end in taken:
+                if value < target:
+                    at = bisect_left(docs, target, at + 1, end)
+                if at < end:
+                    heapq.heappush(heap, (docs[at], at, end))
+
+    def search(self, tokens: np.ndarray, n: int, wanted: np.ndarray | None = None) -> list[int]:
         """The documents (of wanted, a mask) whose set links with a set of n shingles, of which tokens are the repeated ones."""
         at = np.searchsorted(self.vocabulary, tokens)
         at = at[(at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == tokens)] if len(self.vocabulary) else at[:0]
         threshold = needed(n, self.percent)
         if len(at) < threshold:
-            return np.zeros(0, np.int64)
+            return []
         lengths = self.cut[at + 1] - self.cut[at]
         at = at[np.argsort(lengths, kind="stable")]
         longest = max(2, int(lengths.max()))
         n_long = min(int(threshold / (_MU * math.log2(longest) + 1)), threshold - 1)
-        short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
-        found, count = self._merge([self.docs[self.cut[i] : self.cut[i + 1]] for i in short])
-        sizes = self.sizes[found]
-        ok = (count >= threshold - n_long) & (100 * sizes >= self.percent * n) & (100 * n >= self.percent * sizes)
-        if wanted is not None:
-            ok &= wanted[found]
-        found, count, sizes = found[ok], count[ok], sizes[ok]
-        # (100 + p) * overlap >= p * (|A| + |B|) is the same as 100 * overlap >= p * |A or B|
-        need = -(-self.percent * (sizes + n) // (100 + self.percent))
-        if len(found) * 8 < len(long_):
-            probes = np.sort(self.vocabulary[long_])
-            for i, d in enumerate(found):
-                own = self.sets[d]
-                where = np.searchsorted(own, probes)
-                count[i] += int((own[np.minimum(where, len(own) - 1)] == probes).sum())
-            return found[count >= need]
-        for k, i in enumerate(long_):
-            if not len(found):
-                break
-            ids = self.docs[self.cut[i] : self.cut[i + 1]]
-            where = np.searchsorted(ids, found)
-            count += ids[np.minimum(where, len(ids) - 1)] == found
-            if k % 8 == 7:  # those that the lists left can't bring there any more
-                ok = count + (len(long_) - k - 1) >= need
-                found, count, need = found[ok], count[ok], need[ok]
-        return found[count >= need]
+        lists = list(zip(self.cut[at].tolist(), self.cut[at + 1].tolist(), strict=True))
+        short, long_ = lists[: len(at) - n_long], lists[len(at) - n_long :]
+        docs, out = self.docs, []
+        for d, count in self._merge(short, threshold - n_long):
+            size = self.sizes[d]
+            if wanted is not None and not wanted[d] or 100 * size < self.percent * n or 100 * n < self.percent * size:
+                continue
+            # (100 + p) * overlap >= p * (|A| + |B|) is the same as 100 * overlap >= p * |A or B|
+            missing = -(-self.percent * (size + n) // (100 + self.percent)) - count
+            left = len(long_)
+            for a, b in long_:
+                if missing <= 0 or missing > left:
+                    break
+                i = bisect_left(docs, d, a, b)
+                missing -= i < b and docs[i] == d
+                left -= 1
+            if missing <= 0:
+                out.append(d)
+        return out
 
 
 def _root(parent: np.ndarray, i: int) -> int:
@@ -373,27 +409,38 @@ def _search_block(percent: int):
     return run
 
 
-def _verify(percent: int):
+def _search_leaders(percent: int):
+    """Rows of a class and one of its leaders, in order of leaders, to those that link, by an index of the leaders of some rows."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for s1, n1, t1, s2, n2, t2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                common = len(np.intersect1d(np.frombuffer(t1, np.uint64), np.frombuffer(t2, np.uint64), assume_unique=True))
-                if (100 + percent) * common >= percent * (n1 + n2):
-                    a.append(s1)
-                    b.append(s2)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for at in range(0, len(rows), CHUNK):
+                part = rows[at : at + CHUNK]
+                leaders: dict[int, int] = {}
+                for row in part:
+                    leaders.setdefault(row[3], len(leaders))
+                first = {row[3]: row for row in reversed(part)}
+                index = DivideSkip([np.frombuffer(first[s][5], np.uint64) for s in leaders], np.array([first[s][4] for s in leaders]), percent)
+                a, b = [], []
+                for sig, n, tokens, leader, _, _ in part:
+                    wanted = np.zeros(len(leaders), bool)
+                    wanted[leaders[leader]] = True
+                    if index.search(np.frombuffer(tokens, np.uint64), n, wanted):
+                        a.append(sig)
+                        b.append(leader)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     return run
 
 
-def class_links(docs: DataFrame, text: str, common: np.ndarray, k: int, percent: int, chunk: int) -> DataFrame:
+def class_links(docs: DataFrame, text: str, common: np.ndarray, k: int, percent: int, chunk: int, shingles: int) -> DataFrame:
     """(a, b): links between classes that join every component of links."""
     spark = docs.sparkSession
     ship(spark)
-    buckets = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 60_000)
+    # a shingle takes 8 bytes and the index of its class; buckets grow with the input, not in size
+    buckets = min(max(64, 10 * shingles // BUCKET_BYTES), 1 << 24)
     blob = "bucket int, blob binary"
     dealt = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(_deal_shingles(k, buckets, spark.sparkContext.broadcast(common)), blob)
     back = dealt.groupBy("bucket").applyInPandas(_repeated(buckets), blob)
@@ -409,7 +456,7 @@ def class_links(docs: DataFrame, text: str, common: np.ndarray, k: int, percent:
     pairs = candidates.join(blocks.join(big, "block").select("sig"), "sig")
     sides = [classes.select(F.col("sig").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"t_{s}")) for s in ("x", "y")]
     both = pairs.join(sides[0], F.col("sig") == F.col("x")).join(sides[1], F.col("leader") == F.col("y"))
-    by_leader = written(both.select("x", "n_x", "t_x", "y", "n_y", "t_y").mapInArrow(_verify(percent), "a bigint, b bigint"))
+    by_leader = written(both.select("x", "n_x", "t_x", "y", "n_y", "t_y").mapInArrow(_search_leaders(percent), "a bigint, b bigint"))
     families = connected_components(by_leader).select(F.col("node").alias("sig"), F.col("root").alias("family"))
     members = blocks.join(sized, "block").join(families, "sig", "left").withColumn("family", F.coalesce("family", "sig"))
     members = written(members)
@@ -439,8 +486,12 @@ def class_links(docs: DataFrame, text: str, common: np.ndarray, k: int, percent:
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, percent: int = PERCENT, chunk: int = CHUNK, heavy: float = HEAVY, heavy_least: int = _HEAVY_LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id, sig, family): one row for each document; family is a name of the group, null without shingles."""
-    base = written(scan_text(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", "n_shingles bigint, sig bigint, common array<struct<token:bigint,n:bigint>>", _sizes_and_common(k, heavy, heavy_least), ["doc_id"]))
-    groups = connected_components(class_links(docs, text, common_shingles(base, heavy), k, percent, chunk))
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    ship(docs.sparkSession)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    base = written(source.mapInArrow(_sizes_and_common(k, heavy, heavy_least, ["doc_id", "n_shingles", "sig", "common"]), f"doc_id {kind}, n_shingles bigint, sig bigint, common array<struct<token:bigint,n:bigint>>"))
+    shingles = base.agg(F.sum("n_shingles").alias("n")).first().n or 0
+    groups = connected_components(class_links(docs, text, common_shingles(base, heavy), k, percent, chunk, shingles))
     base = base.drop("common")
     classes = base.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("low"))
     named = written(classes.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "low", F.coalesce("root", "sig").alias("family")))

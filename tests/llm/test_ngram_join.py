@@ -87,10 +87,10 @@ def test_divide_skip_finds_all(sets, percent):
     index = ngram_join.DivideSkip(arrays, np.array([len(s) for s in sets]), percent)
     for i, s in enumerate(sets):
         want = {j for j, t in enumerate(sets) if 100 * len(s & t) >= percent * len(s | t)}
-        assert set(index.search(arrays[i], len(s)).tolist()) == want
+        assert set(index.search(arrays[i], len(s))) == want
 
 
-def test_divide_skip_beyond_the_heap():
+def test_divide_skip_on_long_lists():
     g = random.Random(1)
     base = set(range(200))
     sets = [(base - set(g.sample(sorted(base), g.randint(0, 30)))) | {1000 + i} for i in range(300)]
@@ -98,4 +98,31 @@ def test_divide_skip_beyond_the_heap():
     index = ngram_join.DivideSkip(arrays, np.array([len(s) for s in sets]))
     for i in range(0, 300, 37):
         want = {j for j, t in enumerate(sets) if 100 * len(sets[i] & t) >= 85 * len(sets[i] | t)}
-        assert set(index.search(arrays[i], len(sets[i])).tolist()) == want
+        assert set(index.search(arrays[i], len(sets[i]))) == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 40), min_size=1, max_size=30), min_size=1, max_size=12), st.integers(1, 8))
+def test_merge_counts_what_stands_in_enough_lists(lists, least):
+    index = ngram_join.DivideSkip([], np.zeros(0))
+    places, at = [], 0
+    for x in lists:
+        index.docs = index.docs[:at] + sorted(x)
+        places.append((at, at + len(x)))
+        at += len(x)
+    want = {d: n for d, n in Counter(d for x in lists for d in x).items() if n >= least}
+    assert dict(index._merge(places, least)) == want
+
+
+def test_common_shingles_are_found_however_small_batches_are(spark):
+    """A hot shingle is counted over a block of texts, not over an Arrow batch."""
+    rows = [(i, "the same four words " + " ".join(f"x{i}y{j}" for j in range(20))) for i in range(300)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        fields = ["doc_id", "n_shingles", "sig", "common"]
+        base = docs.mapInArrow(ngram_join._sizes_and_common(4, 0.5, 16, fields), "doc_id bigint, n_shingles bigint, sig bigint, common array<struct<token:bigint,n:bigint>>")
+        assert len(ngram_join.common_shingles(base, 0.5)) == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -190,3 +190,7 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    # a node with most of the edges
+    star = [(7, i) for i in range(10, 2500)] + [(i, i + 5000) for i in range(10, 500)]
+    found = connected_components(spark.createDataFrame(star, "a long, b long"))
+    assert found.count() == 1 + 2490 + 490 and found.where("root <> 7").count() == 0
