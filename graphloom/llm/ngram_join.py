@@ -394,10 +394,15 @@ def _search_block(percent: int):
             j = same.setdefault(int(s), i)
             parent[_root(parent, i)] = _root(parent, j)
         roots = np.array([_root(parent, i) for i in range(len(pdf))])
+        # of any two families one isn't the largest, so its classes alone need to ask; in a large block they are the queries already
+        names, sizes_of = np.unique(roots[inside], return_counts=True)
+        largest = names[sizes_of.argmax()] if len(names) else -1
         links = []
-        for i in np.flatnonzero(roles != "i"):
+        for i in np.flatnonzero((roles == "q") | (roles == "b") & (roots != largest)):
             mine = _root(parent, i)
             wanted = roots[inside] != roots[i]
+            if not wanted.any():
+                continue
             for d in index.search(sets[i], int(sizes[i]), wanted):
                 j = int(inside[d])
                 other = _root(parent, j)
