@@ -40,11 +40,11 @@ def move(rows: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def deletion_impact(records: DataFrame, doc_chunks: DataFrame) -> DataFrame:
-    """(key, remaining, action) of records(key, chunk_ids) that name any of doc_chunks(chunk_id): what is left of their chunks, and
-    whether they are deleted or rebuilt."""
+    """(key, remaining, left, action) of records(key, chunk_ids) that name any of doc_chunks(chunk_id): what is left of their chunks,
+    as a list for reading and as an array, and whether they are deleted or rebuilt."""
     named = records.select("key", F.explode("chunk_ids").alias("chunk_id")).join(doc_chunks.select("chunk_id"), "chunk_id").groupBy("key").agg(F.collect_set("chunk_id").alias("gone"))
     hit = records.join(named, "key").withColumn("left", subtract(F.col("chunk_ids"), F.col("gone")))
-    return hit.select("key", F.array_join("left", ",").alias("remaining"), F.when(F.size("left") == 0, "delete").otherwise("rebuild").alias("action"))
+    return hit.select("key", F.array_join("left", ",").alias("remaining"), "left", F.when(F.size("left") == 0, "delete").otherwise("rebuild").alias("action"))
 
 
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -122,10 +122,42 @@ def merge_attribute(strategy: str, column: str, order: str) -> Column:
     raise ValueError(strategy)
 
 
-def merge_nodes(nodes: DataFrame, edges: DataFrame, sources: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes listed in sources(entity_id) become target: edges move, self-links go, of edges between one pair the largest
-    weight stays. Returns the new (nodes, edges(src_id, tgt_id, weight))."""
-    ids = sources.select(F.col("entity_id").alias("old_id"), F.lit(target).alias("new_id"))
-    moved = rewrite_ends(edges, ids).groupBy(F.least("src_id", "tgt_id").alias("src_id"), F.greatest("src_id", "tgt_id").alias("tgt_id")).agg(F.max("weight").alias("weight"))
-    rest = nodes.join(sources.where(F.col("entity_id") != target), "entity_id", "left_anti")
-    return rest, moved
+NODE_STRATEGIES = {"description": "concatenate", "dim1": "keep_first", "dim2": "join_unique_comma", "source_id": "join_unique", "file_path": "join_unique"}
+EDGE_STRATEGIES = {"description": "concatenate", "keywords": "join_unique_comma", "source_id": "join_unique", "file_path": "join_unique", "weight": "max"}
+
+
+def _merged(rows: DataFrame, keys: list[str], columns: list[str], strategies: dict[str, str], order: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[merge_attribute(strategies.get(c, "keep_first"), c, order).alias(c) for c in columns if c not in keys])
+
+
+def merge_nodes(nodes: DataFrame, edges: DataFrame, sources: DataFrame, target: str, node_strategies: dict[str, str] | None = None, edge_strategies: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes listed in sources(entity_id) become target, which keeps its place as the first of them: attributes merge by strategy,
+    edges that touch a source move, self-links among them go, and moved edges that meet another between the same ends
+    (either way round) merge with it. Other nodes and edges stay as they are, parallel ones too. Returns (nodes, edges).
+
+    A target that isn't a node yet becomes one. Sources that aren't nodes add nothing."""
+    gone = sources.select(F.col("entity_id").alias("old_id")).where(F.col("old_id") != target).distinct()
+    joined = nodes.join(gone, F.col("entity_id") == F.col("old_id"), "left").withColumn("\x01in", F.col("old_id").isNotNull() | (F.col("entity_id") == target)).drop("old_id")
+    # the target first, then sources by their ids
+    place = F.struct((F.col("entity_id") != target).alias("later"), F.col("entity_id").alias("id"))
+    taken = joined.where("`\x01in`").withColumn("\x01place", place).withColumn("entity_id", F.lit(target))
+    one = _merged(taken, ["entity_id"], nodes.columns, NODE_STRATEGIES | (node_strategies or {}), "\x01place")
+    new_nodes = joined.where("not `\x01in`").select(*nodes.columns).unionByName(one.select(*nodes.columns))
+    swap = lambda side: F.when(F.col(f"{side}_old").isNotNull(), F.lit(target)).otherwise(F.col(side))
+    ends = lambda side: gone.select(F.col("old_id").alias(f"{side}_old"))
+    every = edges.join(ends("src_id"), F.col("src_id") == F.col("src_id_old"), "left").join(ends("tgt_id"), F.col("tgt_id") == F.col("tgt_id_old"), "left")
+    touched = F.col("src_id_old").isNotNull() | F.col("tgt_id_old").isNotNull()
+    moved = every.where(touched).withColumns({"src_id": swap("src_id"), "tgt_id": swap("tgt_id")}).drop("src_id_old", "tgt_id_old").where("src_id <> tgt_id").withColumn("\x01moved", F.lit(1))
+    still = every.where(~touched).drop("src_id_old", "tgt_id_old").withColumn("\x01moved", F.lit(0))
+    # only edges at the target can meet a moved one
+    at_target = (F.col("src_id") == target) | (F.col("tgt_id") == target)
+    met = still.where(at_target).unionByName(moved).withColumns({"\x01a": F.least("src_id", "tgt_id"), "\x01b": F.greatest("src_id", "tgt_id")})
+    pairs = met.groupBy("\x01a", "\x01b").agg(F.max("\x01moved").alias("\x01any"))
+    both = met.join(pairs, ["\x01a", "\x01b"])
+    order = "\x01order"
+    named = [c for c in ("edge_id", "keywords") if c in edges.columns]
+    grouped = both.where("`\x01any` = 1").withColumn(order, F.struct("\x01moved", "src_id", "tgt_id", *named))
+    joined_edges = _merged(grouped, ["\x01a", "\x01b"], edges.columns, EDGE_STRATEGIES | (edge_strategies or {}), order).select(*edges.columns)
+    rest = still.where(~at_target).select(*edges.columns).unionByName(both.where("`\x01any` = 0").select(*edges.columns))
+    kinds = {f.name: f.dataType for f in edges.schema}
+    return new_nodes, rest.unionByName(joined_edges.select(*[F.col(c).cast(kinds[c]).alias(c) for c in edges.columns]))

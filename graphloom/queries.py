@@ -337,16 +337,29 @@ def merge_attributes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+_GONE = "gone AS (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_regionkey = 1)"
+
+
 @query(
-    f"""WITH {fx.EDGES_SQL}, gone AS (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_regionkey = 1),
-moved AS (SELECT CASE WHEN src_id IN (SELECT id FROM gone) THEN 'n:merged' ELSE src_id END AS x, CASE WHEN tgt_id IN (SELECT id FROM gone) THEN 'n:merged' ELSE tgt_id END AS y, weight FROM places)
-SELECT least(x, y) AS src_id, greatest(x, y) AS tgt_id, max(weight) AS weight FROM moved WHERE x <> y GROUP BY 1, 2"""
+    f"""WITH {fx.PLACES_SQL}, {_GONE},
+moved AS (SELECT edge_id, keywords, weight, CASE WHEN src_id IN (SELECT id FROM gone) THEN 'n:merged' ELSE src_id END AS x, CASE WHEN tgt_id IN (SELECT id FROM gone) THEN 'n:merged' ELSE tgt_id END AS y FROM places WHERE src_id IN (SELECT id FROM gone) OR tgt_id IN (SELECT id FROM gone))
+SELECT edge_id, src_id, tgt_id, keywords, weight FROM places WHERE edge_id NOT IN (SELECT edge_id FROM moved)
+UNION ALL SELECT min(edge_id), x, y, string_agg(DISTINCT keywords, ',' ORDER BY keywords), max(weight) FROM moved WHERE x <> y GROUP BY x, y"""
 )
 def entity_merge_n_to_1(spark: SparkSession, d: str) -> DataFrame:
     gone = fx.nodes(spark, d).where("dim1 = 'nation' and dim2 = 'region 1'").select("entity_id")
     return merge.merge_nodes(fx.nodes(spark, d), fx.places(spark, d), gone, "n:merged")[1]
 
 
+@query(
+    f"""WITH {fx.NODES_SQL}, {_GONE} SELECT entity_id, dim1, dim2, description FROM nodes WHERE entity_id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT 'n:merged', min(dim1), string_agg(DISTINCT dim2, ',' ORDER BY dim2), string_agg(description, '{SEP}' ORDER BY entity_id) FROM nodes WHERE entity_id IN (SELECT id FROM gone)"""
+)
+def entity_merge_attributes(spark: SparkSession, d: str) -> DataFrame:
+    gone = fx.nodes(spark, d).where("dim1 = 'nation' and dim2 = 'region 1'").select("entity_id")
+    return merge.merge_nodes(fx.nodes(spark, d), fx.places(spark, d), gone, "n:merged")[0]
+
+
 # --- text and extraction -----------------------------------------------------------------------------------------------------
 
 
@@ -637,7 +650,7 @@ _RECORDS = "rec AS (SELECT name AS key, list_distinct(list(chunk_id)) AS ids FRO
 def doc_delete_impact(spark: SparkSession, d: str) -> DataFrame:
     rows = extract.entities(fx.responses(spark, d))
     records = rows.groupBy(F.col("name").alias("key")).agg(F.array_sort(F.collect_set("chunk_id")).alias("chunk_ids"))
-    return maintain.deletion_impact(records, rows.where("doc_id = 3").select("chunk_id").distinct())
+    return maintain.deletion_impact(records, rows.where("doc_id = 3").select("chunk_id").distinct()).drop("left")
 
 
 @query(f"WITH {fx.RAW_SQL} SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(DISTINCT name) AS n FROM ent GROUP BY 1")

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = ("md", "txt", "html", "json", "jsonl")
 
 
+def _from_gbk(content: Column) -> Column:
+    """Bytes that aren't UTF-8, as GBK; what isn't that either is marked as U+FFFD, so that no file is lost."""
+
+    def decode(some):
+        return some.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+    return F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR)(content)
+
+
 def folder(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(file_path, text) of all files below a folder with one of the suffixes, one text for a file; blank ones are dropped."""
+    """(file_path, text) of all files below a folder with one of the suffixes, one text for a file, in UTF-8 or else GBK; blank ones are dropped."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
-    text = F.when(F.expr("is_valid_utf8(content)"), F.col("content").cast("string"))
-    if spark.conf.get("spark.sql.legacy.javaCharsets", "false") == "true":
-        text = F.coalesce(text, F.decode("content", "GBK"))
+    other = _from_gbk(F.when(~F.expr("is_valid_utf8(content)"), F.col("content")))
+    text = F.when(F.expr("is_valid_utf8(content)"), F.col("content").cast("string")).otherwise(other)
     return files.select(F.col("path").alias("file_path"), F.coalesce(text, F.lit("")).alias("text")).where(F.trim("text") != "")
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir; one of our own only where none is set, on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("graphloom.own.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        # executors would each write to a disk of their own, and rows would be lost in silence
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("graphloom.own.dir", at)

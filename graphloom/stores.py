@@ -128,13 +128,11 @@ class GraphStore:
         self.edges.upsert(row)
 
     def merge_into(self, sources: DataFrame, target: str) -> None:
-        """Nodes of sources(entity_id) as target: edges move, self-links go, of edges between one pair the heaviest stays."""
-        nodes, edges = self.nodes.read(), self.edges.read()
-        ids = sources.select(F.col("entity_id").alias("old_id"), F.lit(target).alias("new_id"))
-        keep = merge.rewrite_ends(edges, ids).withColumn("pair", F.sort_array(F.array("src_id", "tgt_id")))
-        best = keep.groupBy("pair").agg(F.max_by(F.struct("edge_id", "src_id", "tgt_id", "keywords", "description", "weight", "source_id"), F.struct("weight", "edge_id")).alias("e")).select("e.*")
-        self.nodes.write(nodes.join(sources.where(F.col("entity_id") != target), "entity_id", "left_anti"))
-        self.edges.write(best)
+        """Nodes of sources(entity_id) as target: attributes merge, their edges move, self-links among them go; all else stays."""
+        nodes, edges = merge.merge_nodes(self.nodes.read(), self.edges.read(), sources, target)
+        nodes, edges = tables.materialized(nodes), tables.materialized(edges)
+        self.nodes.write(nodes)
+        self.edges.write(edges)
 
 
 class StatusStore(Store):

@@ -16,39 +16,48 @@ def stream_documents(spark: SparkSession, path: str, schema: str, per_trigger: i
 
 
 def append_to_table(rows: DataFrame, table: str, keys: list[str], checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Each micro-batch transformed and upserted into a versioned folder: version k + 1 is written beside version k and then named
-    in LATEST, so that a batch that is run again after a failure writes the same version again."""
+    """Each micro-batch transformed and upserted into a versioned folder: the next version is written beside the latest and then
+    named in LATEST with the stream (its checkpoint) and batch that made it. A batch that is run again after a failure starts from
+    the version before its own; a new stream, whose batches count from 0 again, goes on from the latest."""
     spark = rows.sparkSession
 
-    def latest(fs, hadoop) -> int:
-        at = hadoop(f"{table}/LATEST")
-        if not fs.exists(at):
-            return 0
-        stream = fs.open(at)
-        try:
-            return int(stream.readInt())
-        finally:
-            stream.close()
-
     def one(batch: DataFrame, batch_id: int) -> None:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path
         fs = hadoop(table).getFileSystem(spark._jsc.hadoopConfiguration())
-        version = min(latest(fs, hadoop), batch_id)
+        before, stream, made = _latest(spark, table) or (0, "", -1)
+        if stream == checkpoint and made >= batch_id:
+            return  # named already: the failure came after the commit
         new = transform(batch)
-        if version:
-            new = upsert(spark.read.parquet(f"{table}/v{version}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{table}/v{batch_id + 1}")
-        out = fs.create(hadoop(f"{table}/LATEST"), True)
-        out.writeInt(batch_id + 1)
+        if before:
+            new = upsert(spark.read.parquet(f"{table}/v{before}"), new, keys)
+        new.write.mode("overwrite").parquet(f"{table}/v{before + 1}")
+        out = fs.create(hadoop(f"{table}/LATEST.new"), True)
+        out.writeInt(before + 1)
+        out.writeUTF(checkpoint)
+        out.writeLong(batch_id)
         out.close()
+        fs.delete(hadoop(f"{table}/LATEST"), False)
+        fs.rename(hadoop(f"{table}/LATEST.new"), hadoop(f"{table}/LATEST"))
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_table(spark: SparkSession, table: str) -> DataFrame:
+def _latest(spark: SparkSession, table: str) -> tuple[int, str, int] | None:
+    """(version, stream, batch) named last; the new name counts where a failure came between dropping the old one and the change."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(table).getFileSystem(spark._jsc.hadoopConfiguration())
-    stream = fs.open(hadoop(f"{table}/LATEST"))
-    version = stream.readInt()
-    stream.close()
-    return spark.read.parquet(f"{table}/v{version}")
+    at = next((p for p in (f"{table}/LATEST", f"{table}/LATEST.new") if fs.exists(hadoop(p))), None)
+    if at is None:
+        return None
+    stream = fs.open(hadoop(at))
+    try:
+        return stream.readInt(), stream.readUTF(), stream.readLong()
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, table: str) -> DataFrame:
+    found = _latest(spark, table)
+    if found is None:
+        raise FileNotFoundError(table)
+    return spark.read.parquet(f"{table}/v{found[0]}")

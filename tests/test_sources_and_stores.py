@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from graphloom.operators import merge
 from graphloom.api import KnowledgeGraph, read_only
 from graphloom.schema import SEP
 from graphloom.sources import readers
@@ -16,13 +17,8 @@ def test_readers(spark, tmp_path):
     (tmp_path / "y.jsonl").write_text('{"a": 1}\nbroken\n\n[1]\n')
     (tmp_path / "z.txt").write_bytes("图论".encode("gbk"))
     got = {r.file_path.rsplit("/", 1)[1]: r.text for r in readers.documents(spark, str(tmp_path)).collect()}
-    assert got == {"x.md": "one\ntwo", "y.jsonl": '{"a": 1}\nbroken\n\n[1]\n'}
+    assert got == {"x.md": "one\ntwo", "y.jsonl": '{"a": 1}\nbroken\n\n[1]\n', "z.txt": "图论"}
     assert [r.text for r in readers.documents(spark, str(tmp_path / "y.jsonl")).collect()] == ['{"a": 1}', "[1]"]
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    try:
-        assert "图论" in {r.text for r in readers.folder(spark, str(tmp_path)).collect()}
-    finally:
-        spark.conf.unset("spark.sql.legacy.javaCharsets")
     with pytest.raises(FileNotFoundError):
         readers.documents(spark, str(tmp_path / "none"))
     (tmp_path / "chunks.json").write_text(json.dumps({"c1": {"content": "t", "tokens": 3}, "c2": {"chunk_id": "cc", "content": "u"}}))
@@ -107,3 +103,46 @@ def test_writing_sql_is_refused(spark, sql):
 
 def test_reading_sql_may_name_commands(spark):
     read_only(spark, "SELECT 'DROP TABLE x' AS delete FROM nodes WHERE set = 'create'")
+
+
+def test_merging_leaves_other_edges_alone(spark):
+    nodes = spark.createDataFrame([("a", "t", "x", "first", "c1"), ("b", "u", "y", "second", "c2<SEP>c1"), ("c", "t", "", "third", "c3"), ("d", "t", "", "", "c4")], NODE)
+    edges = spark.createDataFrame(
+        [("e1", "c", "d", "k", "one", 1.0, "c1"), ("e2", "c", "d", "l", "two", 2.0, "c2"), ("e3", "d", "c", "m", "back", 3.0, "c3"), ("e4", "a", "b", "k", "self", 1.0, "c1"), ("e5", "a", "c", "k1", "ac", 1.0, "c1"), ("e6", "c", "b", "k2", "cb", 5.0, "c2"), ("e7", "b", "d", "k", "bd", 1.0, "c2")],
+        EDGE,
+    )
+    sources = spark.createDataFrame([("a",), ("b",), ("nowhere",)], "entity_id string")
+    got_nodes, got_edges = merge.merge_nodes(nodes, edges, sources, "b")
+    assert {(r.entity_id, r.dim1, r.dim2, r.description, r.source_id) for r in got_nodes.collect()} == {("b", "u", "x,y", "second<SEP>first", "c1<SEP>c2"), ("c", "t", "", "third", "c3"), ("d", "t", "", "", "c4")}
+    found = {r.edge_id: (r.src_id, r.tgt_id, r.keywords, r.description, r.weight, r.source_id) for r in got_edges.collect()}
+    assert found == {
+        "e1": ("c", "d", "k", "one", 1.0, "c1"), "e2": ("c", "d", "l", "two", 2.0, "c2"), "e3": ("d", "c", "m", "back", 3.0, "c3"), "e7": ("b", "d", "k", "bd", 1.0, "c2"), "e6": ("c", "b", "k1,k2", "cb<SEP>ac", 5.0, "c1<SEP>c2"),
+    }
+
+
+def test_a_target_that_is_no_node_becomes_one(spark):
+    nodes = spark.createDataFrame([("a", "t", "x", "first", "c1"), ("b", "t", "y", "second", "c2")], NODE)
+    edges = spark.createDataFrame([("e1", "a", "b", "k", "", 1.0, "c1")], EDGE)
+    got_nodes, got_edges = merge.merge_nodes(nodes, edges, nodes.select("entity_id"), "new")
+    assert [(r.entity_id, r.description) for r in got_nodes.collect()] == [("new", "first<SEP>second")] and got_edges.count() == 0
+
+
+def test_a_new_stream_goes_on_from_the_table(spark, tmp_path):
+    from graphloom.streaming import append
+
+    for k, rows in enumerate(([{"id": "1", "text": "a"}], [{"id": "2", "text": "b"}, {"id": "1", "text": "c"}])):
+        folder = tmp_path / f"in{k}"
+        folder.mkdir()
+        (folder / "x.json").write_text("\n".join(json.dumps(r) for r in rows))
+        for _ in range(2):  # run again with the same checkpoint: nothing new
+            append.append_to_table(append.stream_documents(spark, str(folder), "id string, text string"), str(tmp_path / "t"), ["id"], str(tmp_path / f"check{k}")).awaitTermination()
+    assert {(r.id, r.text) for r in append.read_table(spark, str(tmp_path / "t")).collect()} == {("1", "c"), ("2", "b")}
+
+
+def test_a_deleted_document_leaves_no_trace(spark, tmp_path):
+    kg = small_graph(spark, str(tmp_path))
+    kg.vectors.upsert(spark.createDataFrame([("a", "t", "", [1.0]), ("b", "t", "", [1.0])], "id string, block string, content string, embedding array<float>"))
+    kg.delete_document("doc-1")
+    assert "a" not in {r.id for r in kg.vectors.read().collect()}
+    named = {x for rows in (kg.graph.nodes.read(), kg.graph.edges.read()) for r in rows.collect() for x in r.source_id.split("<SEP>")}
+    assert "c1" not in named
