@@ -3,28 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
+from graphloom.sources.tables import scratch_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. One of our own is set only where there is none, as in tests on one machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("graphloom.own.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("graphloom.own.dir", at)
-    return at
+_written: list[tuple[SparkSession, str]] = []
 
 
 def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """df written once as Parquet and read again: lineage ends there, and a lost executor loses nothing of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/graphloom-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)

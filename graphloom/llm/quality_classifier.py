@@ -30,7 +30,7 @@ from graphloom.llm.textkit import byte_blocks, find_words, gram_hashes, is_nonsp
 PASSAGE = 64
 HASHED = 32
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 400
+TRAIN_PASSAGES = 100
 THRESHOLD = 0.7
 _MEASURES = 14
 DIM = _MEASURES + HASHED
@@ -44,7 +44,7 @@ def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n_words = np.diff(w.first)
         n_pass = np.maximum(1, -(-n_words // PASSAGE))
         base = np.concatenate(([0], np.cumsum(n_pass)))
-        of = np.repeat(base[:-1] - w.first[:-1] // 1 * 0, n_words) + (np.arange(len(w.starts)) - np.repeat(w.first[:-1], n_words)) // PASSAGE
+        of = np.repeat(base[:-1], n_words) + (np.arange(len(w.starts)) - np.repeat(w.first[:-1], n_words)) // PASSAGE
         total = int(base[-1])
         words = np.maximum(np.bincount(of, minlength=total), 1)
         out = np.zeros((total, DIM), np.float32)
