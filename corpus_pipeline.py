@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source_mix", source_mix),
 ]
 
-#: A trained classifier and a trained field aren't SQL; tests hold the stages against brute force instead.
+#: A trained classifier and a trained field aren't SQL. Tests hold what each stage keeps against its operator, and the operators against brute force.
 ORACLE_SQL: str | None = None
 
 
