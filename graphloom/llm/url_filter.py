@@ -7,17 +7,23 @@ edges. An explicit allow goes first: a component with an allowed member and a bl
 allowed, one with blocked members only blocks them, and without any decision a url is allowed.
 
 Edges come from a page's `<link rel="canonical">` and `<meta http-equiv="refresh">`, or from a table passed. Urls
-are nodes without their fragment, with scheme and host in lower case. Null urls, or without `://`, have an empty
+are nodes without their fragment, with scheme and host in lower case; links are resolved as browsers do, see link_target(). Null urls, or without `://`, have an empty
 host and path, fit no rule, are no nodes and are allowed; null or empty html has no edges; repeated pages share their
 node and get equal rows. Extra columns don't matter. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.cluster import connected_components
+from graphloom.shipping import ship
 
 #: Verdict and rule.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -45,17 +51,26 @@ def node(url: Column) -> Column:
     return F.when(head != "", F.concat(lower_az(head), F.substr(bare, F.length(head) + 1)))
 
 
-def resolved(target: Column, base: Column) -> Column:
-    """A link's target against the url it stands on."""
-    scheme, site = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(F.regexp_extract(base, r"(?s)^[^?#]*", 0), r"(?s)^(.*?://.*/)", 1)
-    return (
-        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
-        .when(target.startswith("//"), F.concat(scheme, target))
-        .when(target.startswith("/"), F.concat(site, target))
-        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (target == "") | target.startswith("#"), F.lit(None))
-        .otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(site, F.lit("/"))), target))
-    )
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def link_target(page: str | None, base: str | None, target: str | None) -> str | None:
+    """Where a link of a page leads: character references that end in a semicolon are decoded, blanks around and tabs and line
+    ends within dropped; then RFC 3986 against the page's <base>, if it has one, else the page, with . and .. resolved. Null for
+    nothing, a part of the page, or a target without `://`."""
+    clean = lambda s: re.sub(r"[\t\r\n]", "", _REFERENCE.sub(lambda m: html.unescape(m[0]), s)).strip(" \f")
+    at = clean(target or "")
+    if not page or not at or at.startswith("#"):
+        return None
+    try:
+        found = urljoin(urljoin(page, clean(base or "")), at)
+    except ValueError:  # a malformed bracketed address
+        return None
+    return found if "://" in found else None
+
+
+def _targets(page: pd.Series, base: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([link_target(*x) for x in zip(page, base, target, strict=True)], dtype=object)
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -66,14 +81,18 @@ def _attribute(tag: Column, name: str) -> Column:
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes that a page's canonical links and refreshes join."""
-    tags = F.regexp_extract_all(F.col(f"`{html}`"), F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    wanted = F.filter(tags, lambda t: t.rlike(r"""(?is)\srel\s*=\s*["']?[^"'>]*\bcanonical\b|\shttp-equiv\s*=\s*["']?\s*refresh\b"""))
-    each = pages.where(F.col(f"`{html}`").rlike("(?i)canonical|refresh")).select(F.col(f"`{url}`").alias("url"), F.explode(wanted).alias("tag"))
-    to = F.when(F.col("tag").rlike("(?is)^<link"), _attribute(F.col("tag"), "href")).otherwise(F.trim(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)))
-    # an exploded array keeps the expressions of one step from being copied into the next
-    targets = each.select("url", F.explode(F.array(to)).alias("to"))
-    ends = targets.select("url", F.explode(F.array(resolved(F.col("to"), F.col("url")))).alias("to"))
+    """(a, b): nodes that a page's canonical links and refreshes join. Comments, scripts and styles hold none; one that
+    isn't closed goes to the end of the page. Pages without either word aren't parsed."""
+    ship(pages.sparkSession)
+    seen = F.regexp_replace(F.col(f"`{html}`"), r"(?is)<!--(?:.*?-->|.*$)|<(script|style)\b(?:.*?</\1\s*>|.*$)", " ")
+    tags = F.regexp_extract_all(seen, F.lit(r"(?is)<(?:link|meta|base)\b[^>]*+(?:>|$)"), F.lit(0))
+    found = pages.where(F.col(f"`{html}`").rlike("(?i)canonical|refresh")).select(F.col(f"`{url}`").alias("url"), tags.alias("tags"))
+    wanted = F.filter("tags", lambda t: t.rlike(r"""(?is)^<link.*\srel\s*=\s*["']?[^"'>]*\bcanonical\b|^<meta.*\shttp-equiv\s*=\s*["']?\s*refresh\b"""))
+    base = F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base.*\shref\s*=")), F.lit(0))
+    each = found.select("url", _attribute(base, "href").alias("base"), F.explode(wanted).alias("tag"))
+    refresh = F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?is)^[\s0-9.]*[;,]?\s*(?:url\s*=\s*)?['"]?([^'"]*)""", 1)
+    to = F.when(F.col("tag").rlike("(?is)^<link"), _attribute(F.col("tag"), "href")).otherwise(refresh)
+    ends = each.select("url", F.pandas_udf(_targets, "string")("url", "base", to).alias("to"))
     return ends.select(node(F.col("url")).alias("a"), node(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
