@@ -22,24 +22,29 @@ def interleave(lists: list[DataFrame], key: str, rank: str = "rank") -> DataFram
     return first.withColumn("place", F.row_number().over(Window.orderBy("rank", "source")).cast("bigint"))
 
 
-def weighted_polling(chunks: DataFrame, most: int, least: int = 1, salts: int = 64) -> DataFrame:
-    """(owner, pos, i, chunk) picked from chunks(owner, chunk): owners stand by how many chunks they have; quotas fall evenly
-    (half to even) from most to least with the position, and quotas that an owner can't use go to the first owners with
-    chunks left. An owner's chunks are taken in order.
-
-    The windows without a partition run over one row for each owner. Chunks of a hot owner are cut to its quota within
-    salted parts before its ranks are made, so that no task holds an owner whole."""
-    sizes = chunks.groupBy("owner").agg(F.count("*").alias("size"))
-    rows = sizes.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("size"), "owner")).cast("bigint"))
+def quotas(owners: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """(owner, pos, base, taken) of owners(owner, size, pos): quotas fall evenly (half to even) from most to least with the
+    position, and quotas that an owner can't use go to the first owners with more. base is what its own quota gives it.
+    The windows without a partition run over one row for each owner."""
     n = F.count("*").over(Window.partitionBy())
     quota = F.when(n == 1, F.lit(most)).otherwise(F.bround(F.lit(float(most)) - (F.col("pos") - 1) / (n - 1) * F.lit(float(most - least)), 0)).cast("bigint")
-    rows = rows.withColumn("quota", quota)
+    rows = owners.withColumn("quota", quota)
     rows = rows.withColumns({"base": F.least("quota", "size"), "spare": F.greatest(F.col("size") - F.col("quota"), F.lit(0)), "unused": F.greatest(F.col("quota") - F.col("size"), F.lit(0))})
     total = F.sum("unused").over(Window.partitionBy())
     before = F.coalesce(F.sum("spare").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     more = F.when(n == 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("spare"), total - before)))
-    taken = rows.select("owner", "pos", (F.col("base") + more).cast("int").alias("taken"))
-    each = chunks.join(taken, "owner").withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
+    return rows.select("owner", "pos", F.col("base").cast("int").alias("base"), (F.col("base") + more).cast("int").alias("taken"))
+
+
+def weighted_polling(chunks: DataFrame, most: int, least: int = 1, salts: int = 64) -> DataFrame:
+    """(owner, pos, i, chunk) picked from chunks(owner, chunk): owners stand by how many chunks they have and take as many as
+    quotas() gives them, in the order of the chunks.
+
+    Chunks of a hot owner are cut to its quota within salted parts before its ranks are made, so that no task holds an
+    owner whole."""
+    sizes = chunks.groupBy("owner").agg(F.count("*").alias("size"))
+    owners = sizes.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("size"), "owner")).cast("bigint"))
+    each = chunks.join(quotas(owners, most, least).drop("base"), "owner").withColumn("salt", F.pmod(F.xxhash64("chunk"), F.lit(salts)))
     rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("chunk"))
     few = each.withColumn("i", rank("owner", "salt")).where(F.col("i") <= F.col("taken"))
     return few.withColumn("i", rank("owner")).where(F.col("i") <= F.col("taken")).select("owner", "pos", (F.col("i") - 1).alias("i"), "chunk")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ _PARAM = retrieve.QueryParam(top_k=10, chunk_top_k=20, max_total_tokens=2000)
 _LOCAL = f"{fx.KNN_SQL}, top AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM hits WHERE score >= 0.2 ORDER BY score DESC, id LIMIT 10)"
 _RELS = """, touched AS (SELECT DISTINCT l.* FROM links l WHERE a IN (SELECT id FROM top) OR b IN (SELECT id FROM top)),
 lrel AS (SELECT a AS src_id, b AS tgt_id, weight, (x.degree + y.degree)::BIGINT AS edge_rank, row_number() OVER (ORDER BY x.degree + y.degree DESC, weight DESC, a, b) AS rank
-  FROM touched JOIN degrees x ON x.id = a JOIN degrees y ON y.id = b)"""
+  FROM touched JOIN degrees x ON x.id = a JOIN degrees y ON y.id = b ORDER BY rank LIMIT 8000)"""
 _GLOBAL = """, grel AS (
   SELECT *, row_number() OVER (ORDER BY score DESC, src_id, tgt_id) AS rank FROM (
     SELECT a AS src_id, b AS tgt_id, weight, greatest(x.score, y.score) AS score FROM links JOIN hits x ON x.id = a JOIN hits y ON y.id = b)
@@ -104,6 +105,53 @@ def kg_naive(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.naive_chunks(g.chunks, fx.query_vector(spark, d), _PARAM)
 
 
+_LINK_VECTORS = """, lv AS (SELECT a AS src_id, b AS tgt_id, weight, round(list_cosine_similarity(list_transform(list_zip(x.e, y.e), lambda z: z[1] + z[2]), (SELECT e FROM vecs WHERE id = 0)), 4) AS score FROM links JOIN vecs x ON x.id = a JOIN vecs y ON y.id = b)"""
+
+
+def _with_link_vectors(spark: SparkSession, d: str) -> retrieve.Graph:
+    """Links with the sum of their ends' vectors."""
+    g = _knn_graph(spark, d)
+    ends = lambda c, e: g.nodes.select(F.col("id").alias(c), F.col("embedding").alias(e))
+    both = g.links.join(ends("src_id", "x"), "src_id").join(ends("tgt_id", "y"), "tgt_id")
+    vectors = both.select("src_id", "tgt_id", "weight", F.zip_with("x", "y", lambda a, b: a.cast("double") + b.cast("double")).alias("embedding"))
+    return replace(g, link_vectors=vectors)
+
+
+@query(f"WITH {fx.KNN_SQL}{_LINK_VECTORS} SELECT *, row_number() OVER (ORDER BY score DESC, src_id, tgt_id) AS rank FROM lv WHERE score >= 0.2 ORDER BY score DESC, src_id, tgt_id LIMIT 10")
+def kg_relation_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.retrieve(_with_link_vectors(spark, d), fx.query_vector(spark, d), retrieve.QueryParam(mode="global", top_k=10))["global_relations"]
+
+
+#: Chunks that an entity comes from: ids below the number of vectors, so that many are shared.
+_SOURCES = "[id % 11, (id * 7) % 50, id % 3, id]"
+_POLLED = """, named AS (SELECT rank AS place, id AS owner, generate_subscripts(l, 1) AS i, unnest(l) AS chunk FROM (SELECT id, rank, {0} AS l FROM top)),
+once AS (SELECT chunk, count(*) AS n, arg_min(owner, (place, i)) AS owner, min((place, i)) AS first FROM named GROUP BY chunk),
+own AS (SELECT id AS owner, rank AS pos, (SELECT count(*) FROM once WHERE owner = id) AS size, count(*) OVER () AS k FROM top),
+quota AS (SELECT *, least(quota, size) AS base, greatest(size - quota, 0) AS spare, greatest(quota - size, 0) AS unused FROM (SELECT *, round_even(5 - (pos - 1) / (k - 1) * 4.0::DOUBLE, 0)::BIGINT AS quota FROM own)),
+given AS (SELECT owner, pos, base, base + greatest(0, least(spare, (SELECT sum(unused) FROM quota) - coalesce(sum(spare) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS taken FROM quota),
+turns AS (SELECT once.*, pos, base, taken, row_number() OVER (PARTITION BY once.owner ORDER BY n DESC, first) AS i FROM once JOIN given USING (owner)),
+polled AS (SELECT chunk AS id, owner, n, row_number() OVER (ORDER BY i > base, pos, i) AS rank FROM turns WHERE i <= taken)"""
+
+
+def _with_sources(spark: SparkSession, d: str) -> retrieve.Graph:
+    g = _knn_graph(spark, d)
+    return replace(g, entity_sources=g.nodes.select("id", F.expr("array(id % 11, (id * 7) % 50, id % 3, id)").alias("chunk_ids")))
+
+
+@query(f"WITH {_LOCAL}{_POLLED.format(_SOURCES)} SELECT * FROM polled")
+def kg_entity_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.retrieve(_with_sources(spark, d), fx.query_vector(spark, d), retrieve.QueryParam(mode="local", top_k=10))["entity_chunks"]
+
+
+@query(
+    f"""WITH {_LOCAL}{_POLLED.format(_SOURCES)} SELECT id, owner, n, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+SELECT once.chunk AS id, owner, n, score FROM once JOIN hits ON hits.id = chunk ORDER BY score DESC, id LIMIT (SELECT 5 * count(*) // 2 FROM top))"""
+)
+def kg_entity_chunks_by_vector(spark: SparkSession, d: str) -> DataFrame:
+    p = retrieve.QueryParam(mode="local", top_k=10, pick="vector")
+    return retrieve.retrieve(_with_sources(spark, d), fx.query_vector(spark, d), p)["entity_chunks"]
+
+
 # --- vectors -----------------------------------------------------------------------------------------------------------------
 
 

@@ -14,9 +14,10 @@ PROBLEM_TYPE = "题目"
 RELATION_TYPES = ("IS_A", "PART_OF", "BASED_ON", "APPLIES_TO", "EVALUATES", "EXPLAINS", "PRACTICED_BY", "COMPARES_WITH", "LEADS_TO", "OPTIMIZES", "TRANSFORMS_TO")
 DOC_STATUSES = ("pending", "processing", "preprocessed", "processed", "failed")
 
-# Defaults of queries.
+# Defaults of queries.
 TOP_K = 40
 CHUNK_TOP_K = 20
+RELATED_CHUNKS = 5
 MAX_ENTITY_TOKENS = 6000
 MAX_RELATION_TOKENS = 8000
 MAX_TOTAL_TOKENS = 30000
