@@ -26,3 +26,8 @@ def cap(ids: Column, limit: int, newest: bool = True) -> Column:
     if limit <= 0:
         return F.slice(ids, 1, 0)
     return F.when(F.size(ids) <= limit, ids).otherwise(F.slice(ids, -limit if newest else 1, limit))
+
+
+def cap_by(ids: Column, limit: int, method: str | None = None) -> Column:
+    """cap() by the name of a method: KEEP keeps the first ids, FIFO (also for names that aren't known) the last."""
+    return cap(ids, limit, newest=(method or "").strip().upper() != "KEEP")

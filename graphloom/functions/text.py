@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +66,12 @@ def pair_key(a: Column, b: Column) -> Column:
     return F.concat_ws(SEP, F.least(a, b), F.greatest(a, b))
 
 
+def parse_pair_key(key: Column) -> Column:
+    """(src_id, tgt_id) of a pair's key; null unless it has two parts."""
+    parts = F.split(key, "\\Q" + SEP + "\\E")
+    return F.when(F.size(parts) == 2, F.struct(parts[0].alias("src_id"), parts[1].alias("tgt_id")))
+
+
 def cache_key(mode: Column, kind: Column, digest: Column) -> Column:
     return F.concat_ws(":", mode, kind, digest)
 
@@ -89,6 +97,46 @@ def clean_control(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{d800}-\x{dfff}\x{fffe}\x{ffff}]", ""))
 
 
+def sanitized_fields(fields: Column) -> Column:
+    """Each text of an array as clean_control() leaves it, HTML character references decoded, and control characters (those of
+    Latin-1 too) that come out of them dropped."""
+
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda a: None if a is None else [None if x is None else html.unescape(x) for x in a])
+
+    decoded = F.pandas_udf(unescape, "array<string>")(F.transform(fields, clean_control))
+    return F.transform(decoded, lambda x: F.regexp_replace(F.regexp_replace(x, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]", ""), r"(?U)^\s+|\s+$", ""))
+
+
+def sanitized(text: Column) -> Column:
+    """One text as sanitized_fields() makes it."""
+    return sanitized_fields(F.array(text))[0]
+
+
+def decode_escapes(text: Column) -> Column:
+    """\\uXXXX sequences as the characters that they stand for; halves of a pair that stand alone become U+FFFD."""
+    run = r"(?:\\u[0-9a-fA-F]{4})+"
+    between = F.split(text, run, -1)
+    # a null beyond the last run closes the list, so that each part between has something that follows it
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda r: F.decode(F.unhex(F.replace(r, F.lit("\\u"), F.lit(""))), "UTF-16BE")), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, b)), "")
+
+
+def local_time(epoch: Column) -> Column:
+    """Seconds since 1970 in the session's time zone."""
+    return F.from_unixtime(epoch, "yyyy-MM-dd HH:mm:ss")
+
+
+def track_id(prefix: str = "upload") -> Column:
+    """prefix, time and eight random digits; another for each row."""
+    return F.concat_ws("_", F.lit(prefix), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"), F.substring(F.uuid(), 1, 8))
+
+
+def name_order(name: Column) -> Column:
+    """What names are sorted by: Chinese ones by their reading, case aside."""
+    return F.collate(F.lower(name), "zh_CI")
+
+
 def _unquote(text: Column, left: str, right: str) -> Column:
     """Without outer quotes, if there are none within."""
     return F.regexp_replace(text, f"(?s)^{left}([^{left}{right}]*){right}$", "$1")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import hashed_id, suffixed_id, without_complete
-from graphloom.schema import FIELD, SEP, UNKNOWN
+from graphloom.functions.text import hashed_id, is_float, mend_delimiters, normalized_name, sanitized_fields, split_markers, suffixed_id, without_complete
+from graphloom.schema import COMPLETE, FIELD, NAME_LIMIT, SEP, UNKNOWN
 
 
 def token_windows(docs: DataFrame, size: int, overlap: int, doc_id: str = "doc_id", text: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -21,6 +24,37 @@ def token_windows(docs: DataFrame, size: int, overlap: int, doc_id: str = "doc_i
     return made.withColumn("chunk_id", hashed_id("chunk-", F.col("content")))
 
 
+def windows_at(docs: DataFrame, mark: str, size: int, overlap: int, only: bool = False, doc_id: str = "doc_id", text: str = "text", tokenize: Callable[[Column], Column] | None = None, glue: str = " ") -> DataFrame:
+    """Like token_windows(), but texts are cut at each mark first; parts of more than size tokens are cut into windows, unless only is
+    set, and parts without tokens stay as empty chunks. tokenize makes arrays of tokens, which glue joins again, of an array
+    of texts; by default parts between single spaces. Null texts have no chunks."""
+    words = lambda p: F.when(F.trim(p) == "", F.array().cast("array<string>")).otherwise(F.split(F.trim(p), " "))
+    chunk = lambda n, content: F.struct(n.cast("bigint").alias("tokens"), F.trim(content).alias("content"))
+
+    def cut(part: Column) -> Column:
+        whole = F.array(chunk(F.size(part["w"]), part["p"]))
+        if only:
+            return whole
+        starts = F.sequence(F.lit(0), F.size(part["w"]) - 1, F.lit(size - overlap))
+        return F.when(F.size(part["w"]) > size, F.transform(starts, lambda s: chunk(F.least(F.lit(size), F.size(part["w"]) - s), F.array_join(F.slice(part["w"], s + 1, size), glue)))).otherwise(whole)
+
+    pieces = F.split(F.col(text), "\\Q" + mark + "\\E", -1)
+    parts = F.zip_with(pieces, F.transform(pieces, words) if tokenize is None else tokenize(pieces), lambda p, w: F.struct(p.alias("p"), w.alias("w")))
+    # an exploded array keeps the tokens from being made for each use
+    each = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(parts)).alias("parts")).where("parts is not null")
+    rows = each.select("doc_id", F.posexplode(F.flatten(F.transform("parts", cut))).alias("chunk_order_index", "c"))
+    return rows.select("doc_id", F.col("chunk_order_index").cast("bigint").alias("chunk_order_index"), "c.tokens", "c.content", hashed_id("chunk-", F.col("c.content")).alias("chunk_id"))
+
+
+def tokens_by(encode: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """A tokenizer on Python's side as a function of columns of text arrays; encode makes the pieces of a text."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda a: None if a is None else [list(encode(t)) for t in a])
+
+    return F.pandas_udf(run, "array<array<string>>")
+
+
 def flatten_json(text: Column) -> Column:
     """The top-level scalars of a JSON object joined by blanks, in order; text that isn't an object stays."""
     fields = F.from_json(text, "map<string,string>")
@@ -56,6 +90,32 @@ def relations(rows: DataFrame) -> DataFrame:
     )
 
 
+def library_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of responses(doc_id, pos, file_path, chunk_id, response) in the general form: a line
+    is a record, one that a marker glues to another counts as its own, damaged markers are mended, fields are cleaned. Entities have
+    four fields, a name, a type without quotes, brackets, bars and slashes (kept in lower case without blanks) and a
+    description; relations five, two ends that differ, and a weight where the last field is a number, else 1. Other
+    records are dropped. Names are cut at NAME_LIMIT characters. Null and empty responses have none."""
+    mark = "\\Q" + FIELD + "\\E"
+    apart = F.regexp_replace(F.regexp_replace("response", f"{mark}entity{mark}", f"\nentity{FIELD}"), f"{mark}relation(?:ship)?{mark}", f"\nrelation{FIELD}")
+    lines = split_markers(apart, "\n", COMPLETE, COMPLETE.lower())
+    each = rows.select("doc_id", "pos", "file_path", "chunk_id", F.posexplode(lines).alias("ord", "line")).where(F.col("line").rlike("^(?:entity|relation)"))
+    fields = each.withColumn("raw", split_markers(mend_delimiters(F.col("line")), FIELD)).where("size(raw) in (4, 5)").withColumn("f", sanitized_fields(F.col("raw")))
+    f = F.col("f")
+    keep = ["doc_id", "pos", "ord", "file_path", "chunk_id"]
+    name = lambda k: normalized_name(f[k], inner_quotes=True)
+    entities = fields.where(F.col("raw")[0].contains("entity") & (F.size("raw") == 4)).select(*keep, name(1).alias("name"), name(2).alias("kind"), normalized_name(f[3]).alias("description"))
+    good = entities.where("name <> '' and trim(kind) <> '' and description <> ''").where(~F.col("kind").rlike(r"['()<>|/\\]"))
+    number = F.translate(F.col("raw")[4], "\"'", "")
+    relations = fields.where(F.col("raw")[0].contains("relation") & (F.size("raw") == 5)).select(
+        *keep, name(1).alias("src_name"), name(2).alias("tgt_name"), F.replace(name(3), F.lit("，"), F.lit(",")).alias("keywords"), normalized_name(f[4]).alias("description"),
+        F.when(is_float(number), number.cast("double")).otherwise(F.lit(1.0)).alias("weight"),
+    )
+    cut = lambda c: F.substring(c, 1, NAME_LIMIT).alias(c)
+    linked = relations.where("src_name <> '' and tgt_name <> '' and src_name <> tgt_name")
+    return good.select(*keep, cut("name"), F.lower(F.replace("kind", F.lit(" "), F.lit(""))).alias("kind"), "description"), linked.select(*keep, cut("src_name"), cut("tgt_name"), "keywords", "description", "weight")
+
+
 def ordered(column: str, *by: str) -> Column:
     """The values of a column within a group in the order of by."""
     return F.transform(F.array_sort(F.collect_list(F.struct(*by, column))), lambda s: s[column])

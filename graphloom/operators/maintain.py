@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.lists import subtract
-from graphloom.functions.text import hashed_id, summary
-from graphloom.operators.extract import keep_first
-from graphloom.schema import DOC_STATUSES
+from graphloom.functions.text import hashed_id, pair_key, split_markers, summary
+from graphloom.operators.extract import keep_first, ordered
+from graphloom.schema import DOC_STATUSES, SEP
 
 
 def enqueue(docs: DataFrame, existing: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -66,3 +66,29 @@ def lineage(records: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, names, n): what names records(key, chunk_ids) have in each document of chunks(chunk_id, doc_id)."""
     each = records.select("key", F.explode("chunk_ids").alias("chunk_id")).join(chunks, "chunk_id")
     return each.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("doc_id", F.array_join("keys", ",").alias("names"), F.size("keys").cast("bigint").alias("n"))
+
+
+def chunk_tracking(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, key, chunk_ids, n): the chunks of each node and each pair from their source_id, blanks dropped, repeats kept once.
+    Records without any have no row; of a pair's edges all count, in the order of their ids."""
+    named = nodes.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("key"), F.lit("").alias("edge_id"), "source_id")
+    paired = edges.select(F.lit("relation").alias("kind"), pair_key(F.col("src_id"), F.col("tgt_id")).alias("key"), "edge_id", "source_id")
+    each = named.union(paired).select("kind", "key", "edge_id", F.posexplode(split_markers(F.col("source_id"), SEP)).alias("i", "chunk_id"))
+    once = each.groupBy("kind", "key", "chunk_id").agg(F.min(F.struct("edge_id", "i")).alias("first"))
+    lists = once.groupBy("kind", "key").agg(ordered("chunk_id", "first").alias("chunk_ids"))
+    return lists.withColumn("n", F.size("chunk_ids").cast("bigint"))
+
+
+def cached_results(chunks: DataFrame, cache: DataFrame, kind: str = "extract") -> DataFrame:
+    """(chunk_id, place, key, response): stored answers of a kind that chunks(chunk_id, llm_cache_list) name, of cache(key, cache_type,
+    response, created_at), the oldest first. Keys that the cache lacks are left out."""
+    named = chunks.select("chunk_id", F.explode(F.array_distinct("llm_cache_list")).alias("key"))
+    rows = named.join(cache.where(F.col("cache_type") == kind), "key")
+    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy("created_at", "key")).cast("bigint")
+    return rows.select("chunk_id", place.alias("place"), "key", "response")
+
+
+def delete_relations(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges without those between pairs(src_id, tgt_id), either way round."""
+    both = pairs.select("src_id", "tgt_id").union(pairs.select("tgt_id", "src_id")).distinct()
+    return edges.join(both, ["src_id", "tgt_id"], "left_anti").select(*edges.columns)

@@ -276,3 +276,80 @@ def node_sizes(spark: SparkSession, d: str) -> DataFrame:
 def filtered_summary(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return rows.groupBy(F.col("l_returnflag").alias("key")).agg(F.count("*").alias("n"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("kinds"))
+
+
+# --- records, chunks and tracking --------------------------------------------------------------------------------------------
+
+_LIBRARY = """lib AS (SELECT p_partkey AS pos, p_name, lower(replace(p_brand, ' ', '')) AS kind, p_type, p_size FROM part)"""
+
+
+def _library_responses(spark: SparkSession, d: str) -> DataFrame:
+    """A response for each part: an entity, for some a glued one of a bad type or of a fifth field, and a relation."""
+    p = fx.table(spark, d, "part")
+    key = F.col("p_partkey")
+    field = lambda *parts: F.concat_ws(FIELD, *[F.lit(x) if isinstance(x, str) else x for x in parts])
+    entity = field("entity", F.col("p_name"), F.col("p_brand"), F.concat(F.lit("size &lt; "), F.col("p_size").cast("string")))
+    glued = F.when(key % 5 == 0, F.concat(F.lit(FIELD), field("entity", F.concat(F.lit("glued "), key.cast("string")), "Some Kind", "told"))).when(key % 5 == 1, F.concat(F.lit("\n"), field("entity", "bad", "a/b", "told"))).when(key % 5 == 2, F.concat(F.lit("\n"), field("entity", "long", "kind", "told", "more"))).otherwise("")
+    relation = F.concat(F.when(key % 2 == 0, F.lit(FIELD)).otherwise("\n"), field(F.when(key % 4 == 0, "relationship").otherwise("relation"), F.col("p_name"), F.when(key % 7 == 0, F.col("p_name")).otherwise(F.col("p_type")), "IS_A，BASED_ON", F.when(key % 3 == 0, F.lit("'2.5'")).otherwise("is one")), F.lit("<|complete|>"))
+    return p.select(key.alias("doc_id"), key.alias("pos"), F.lit("f").alias("file_path"), key.cast("string").alias("chunk_id"), F.concat(entity, glued, relation).alias("response"))
+
+
+@query(f"WITH {_LIBRARY} SELECT pos, p_name AS name, kind, 'size < ' || p_size AS description FROM lib UNION ALL SELECT pos, 'glued ' || pos, 'somekind', 'told' FROM lib WHERE pos % 5 = 0")
+def library_entities(spark: SparkSession, d: str) -> DataFrame:
+    return extract.library_records(_library_responses(spark, d))[0].select("pos", "name", "kind", "description")
+
+
+@query(f"WITH {_LIBRARY} SELECT pos, p_name AS src_name, p_type AS tgt_name, 'IS_A,BASED_ON' AS keywords, CASE WHEN pos % 3 = 0 THEN '' ELSE 'is one' END AS description, CASE WHEN pos % 3 = 0 THEN 2.5 ELSE 1.0 END::DOUBLE AS weight FROM lib WHERE pos % 7 <> 0")
+def library_relations(spark: SparkSession, d: str) -> DataFrame:
+    rows = extract.library_records(_library_responses(spark, d))[1]
+    return rows.select("pos", "src_name", "tgt_name", "keywords", F.when(F.col("weight") == 1.0, F.col("description")).otherwise("").alias("description"), "weight")
+
+
+@query(
+    """WITH parts AS (SELECT doc_id, generate_subscripts(p, 1) AS k, unnest(p) AS part FROM (SELECT doc_id, string_split(text, '. ') AS p FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT *, CASE WHEN trim(part, ' ') = '' THEN [] ELSE string_split(trim(part, ' '), ' ') END AS words FROM parts),
+cut AS (SELECT doc_id, k, 0 AS start, len(words) AS tokens, trim(part, ' ') AS content FROM w WHERE len(words) <= 12
+  UNION ALL SELECT doc_id, k, start, least(12, len(words) - start), trim(array_to_string(words[start + 1:start + 12], ' '), ' ') FROM (SELECT *, unnest(range(0, len(words), 9)) AS start FROM w WHERE len(words) > 12))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k, start) - 1 AS chunk_order_index, tokens::BIGINT AS tokens, content, 'chunk-' || md5(content) AS chunk_id FROM cut"""
+)
+def chunks_at_marks(spark: SparkSession, d: str) -> DataFrame:
+    return extract.windows_at(fx.table(spark, d, "documents"), ". ", 12, 3)
+
+
+@query(f"""WITH {fx.EDGES_SQL}, own AS (SELECT 'c:' || c_custkey AS key, 'k' || c_custkey % 9 || '{SEP} {SEP}k' || c_custkey % 4 AS s FROM customer),
+e AS (SELECT least(src_id, tgt_id) || '{SEP}' || greatest(src_id, tgt_id) AS key, keywords || '{SEP}' || weight AS s, edge_id FROM edges),
+x AS (SELECT 'entity' AS kind, key, '' AS edge_id, generate_subscripts(string_split(s, '{SEP}'), 1) AS i, trim(unnest(string_split(s, '{SEP}'))) AS c FROM own UNION ALL SELECT 'relation', key, edge_id, generate_subscripts(string_split(s, '{SEP}'), 1), trim(unnest(string_split(s, '{SEP}'))) FROM e),
+once AS (SELECT kind, key, c, min((edge_id, i)) AS f FROM x WHERE c <> '' GROUP BY ALL) SELECT kind, key, string_agg(c, ',' ORDER BY f) AS chunks, count(*) AS n FROM once GROUP BY 1, 2""")
+def chunk_tracking(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    part = lambda n: F.concat(F.lit("k"), (k % n).cast("string"))
+    nodes = fx.table(spark, d, "customer").select(F.concat(F.lit("c:"), k.cast("string")).alias("entity_id"), F.concat_ws(SEP, part(9), F.lit(" "), part(4)).alias("source_id"))
+    edges = fx.edges(spark, d).withColumn("source_id", F.concat_ws(SEP, "keywords", F.col("weight").cast("string")))
+    return maintain.chunk_tracking(nodes, edges).select("kind", "key", F.array_join("chunk_ids", ",").alias("chunks"), "n")
+
+
+@query("SELECT o_custkey::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey::VARCHAR) AS place, o_orderkey::VARCHAR AS key, o_orderpriority AS response FROM orders WHERE o_orderstatus = 'F'")
+def cached_results(spark: SparkSession, d: str) -> DataFrame:
+    o = fx.table(spark, d, "orders")
+    key = F.col("o_orderkey").cast("string")
+    chunks = o.groupBy(F.col("o_custkey").cast("string").alias("chunk_id")).agg(F.concat(F.collect_list(key), F.array(F.lit("none"))).alias("llm_cache_list"))
+    cache = o.select(key.alias("key"), F.when(F.col("o_orderstatus") == "F", "extract").otherwise("summary").alias("cache_type"), F.col("o_orderpriority").alias("response"), F.col("o_orderdate").alias("created_at"))
+    return maintain.cached_results(chunks, cache)
+
+
+@query("SELECT doc_id, 'a < b & ' || n_chars || ' é' AS clean, 'x😀y' || n_chars || 'é\\u12' AS decoded, strftime(make_timestamp(n_chars * 1000000), '%Y-%m-%d %H:%M:%S') AS at FROM documents")
+def text_decoding(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars").cast("string")
+    return fx.table(spark, d, "documents").select(
+        "doc_id", text.sanitized(F.concat(F.lit(" a &lt; b\x07 &amp; "), n, F.lit(" &eacute;&#x9;\n"))).alias("clean"),
+        text.decode_escapes(F.concat(F.lit("x\\ud83d\\ude00y"), n, F.lit("\\u00E9\\u12"))).alias("decoded"), text.local_time(F.col("n_chars")).alias("at"),
+    )
+
+
+@query(f"WITH {fx.EDGES_SQL} SELECT edge_id, least(src_id, tgt_id) AS src_id, greatest(src_id, tgt_id) AS tgt_id FROM edges WHERE NOT (keywords = 'SUPPLIES' AND weight = 1)")
+def delete_relations(spark: SparkSession, d: str) -> DataFrame:
+    edges = fx.edges(spark, d)
+    gone = edges.where("keywords = 'SUPPLIES' and weight = 1").select(F.col("tgt_id").alias("src_id"), F.col("src_id").alias("tgt_id"))
+    left = maintain.delete_relations(edges, gone)
+    pair = text.parse_pair_key(text.pair_key(F.col("src_id"), F.col("tgt_id")))
+    return left.select("edge_id", pair["src_id"].alias("src_id"), pair["tgt_id"].alias("tgt_id"))

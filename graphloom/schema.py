@@ -23,4 +23,5 @@ MAX_RELATION_TOKENS = 8000
 MAX_TOTAL_TOKENS = 30000
 COSINE_THRESHOLD = 0.2
 RESULT_CAP = 30
+NAME_LIMIT = 256
 SOURCE_IDS_LIMIT = 300

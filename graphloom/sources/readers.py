@@ -7,6 +7,8 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.vectors import decode_float32, encode_float32
+
 SUFFIXES = ("md", "txt", "html", "json", "jsonl")
 
 
@@ -57,7 +59,84 @@ def chunk_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Rows of a JSON file that lists them, or of a folder of JSON lines."""
+    return spark.read.schema(schema).json(path, multiLine=not _in_lines(spark, path))
+
+
+_CHUNK = "chunk_id:string,content:string,tokens:bigint,chunk_order_index:bigint,full_doc_id:string,file_path:string"
+RESULTS = {
+    "entities": "entity_id string, entity_name string, dim1 string, dim2 string, description string, source_id string, file_path string, embedding string",
+    "relations": "src_id string, tgt_id string, keywords string, description string, weight double, source_id string, file_path string",
+}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _in_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a folder of lines, as exports are, and not one file."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+
+
+def _decoded(entities: DataFrame) -> DataFrame:
+    """Entities with their base64 vectors as arrays."""
+    return entities.withColumn("embedding", decode_float32("embedding"))
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of a JSON file that lists them or maps ids to them; one in a list without an id has its place as id."""
+    rows = spark.read.text(path, wholetext=not _in_lines(spark, path)).withColumn("listed", F.from_json("value", f"array<struct<{_CHUNK}>>"))
+    listed = rows.where(F.col("value").rlike(r"^\s*\[")).select(F.posexplode("listed").alias("id", "c"))
+    mapped = rows.where(F.col("value").rlike(r"^\s*\{")).select(F.explode(F.from_json("value", f"map<string,struct<{_CHUNK}>>")).alias("id", "c"))
+    both = listed.withColumn("id", F.col("id").cast("string")).union(mapped)
+    return both.select(F.coalesce("c.chunk_id", "id").alias("chunk_id"), "c.content", "c.tokens", "c.chunk_order_index", "c.full_doc_id", "c.file_path")
+
+
+def load_results(spark: SparkSession, entities: str, relations: str | None = None, chunks: str | None = None) -> dict[str, DataFrame]:
+    """entities, relations and chunks of an extraction's JSON files. The entities' file must exist; relations are empty without
+    theirs; chunks default to chunks.json beside the entities."""
+    if not _exists(spark, entities):
+        raise FileNotFoundError(entities)
+    beside = chunks or f"{os.path.dirname(entities)}/chunks.json"
+    return {
+        "entities": _decoded(json_array(spark, entities, RESULTS["entities"])),
+        "relations": json_array(spark, relations, RESULTS["relations"]) if relations and _exists(spark, relations) else spark.createDataFrame([], RESULTS["relations"]),
+        "chunks": _chunks(spark, beside) if _exists(spark, beside) else spark.createDataFrame([], _CHUNK.replace(":", " ")),
+    }
+
+
+def load_merged(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a folder of merged data; a file that isn't there counts as empty, rows that don't parse are left out."""
+    rows = {}
+    for name, key in (("entities", "entity_id"), ("relations", "src_id")):
+        file = f"{path}/processed_{name}.json"
+        rows[name] = json_array(spark, file, RESULTS[name]).where(F.col(key).isNotNull()) if _exists(spark, file) else spark.createDataFrame([], RESULTS[name])
+    backup = f"{path}/chunks_backup.json"
+    chunks = _chunks(spark, backup) if _exists(spark, backup) else spark.createDataFrame([], _CHUNK.replace(":", " "))
+    return {"entities": _decoded(rows["entities"]), "relations": rows["relations"], "chunks": chunks}
+
+
+def write_merged(tables: dict[str, DataFrame], path: str) -> None:
+    """Entities (vectors as base64), relations and chunks as folders of JSON lines, under the names that load_merged() reads."""
+    encoded = tables["entities"].withColumn("embedding", encode_float32("embedding"))
+    for name, df in (("processed_entities", encoded), ("processed_relations", tables["relations"]), ("chunks_backup", tables["chunks"].select(F.to_json(F.map_from_arrays(F.array("chunk_id"), F.array(F.struct(*tables["chunks"].columns)))).alias("value")))):
+        writer = df.write.mode("overwrite")
+        writer.text(f"{path}/{name}.json") if name == "chunks_backup" else writer.json(f"{path}/{name}.json")
+
+
+def new_files(spark: SparkSession, path: str, known: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(file_path, length, modified) of files right in a folder, with one of the suffixes, that known(file_path) lacks."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(path)
+    return files.select(F.col("path").alias("file_path"), "length", F.col("modificationTime").alias("modified")).join(known.select("file_path"), "file_path", "left_anti")
+
+
+def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(number, question, ground_truth, project) of a JSON file's test_cases, in their order."""
+    cases = F.from_json(F.get_json_object("value", "$.test_cases"), "array<struct<question:string,ground_truth:string,project:string>>")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(cases).alias("number", "c")).select((F.col("number") + 1).cast("bigint").alias("number"), "c.*")
 
 
 def export(df: DataFrame, path: str, kind: str) -> None:

@@ -135,6 +135,28 @@ class GraphStore:
         self.edges.write(edges)
 
 
+class ResultStore:
+    """What an extraction found: entities, relations and chunks."""
+
+    def __init__(self, spark: SparkSession, root: str, workspace: str = "default") -> None:
+        self.entities = Store(spark, root, "found_entities", "entity_id string, entity_name string, dim1 string, dim2 string, description string, source_id string, file_path string", "entity_id", workspace)
+        self.relations = Store(spark, root, "found_relations", "src_id string, tgt_id string, keywords string, description string, weight double, source_id string, file_path string", "src_id", workspace)
+        self.chunks = Store(spark, root, "found_chunks", "chunk_id string, content string, tokens bigint, chunk_order_index bigint, full_doc_id string, file_path string", "chunk_id", workspace)
+
+    def write(self, entities: DataFrame, relations: DataFrame, chunks: DataFrame | None = None, append: bool = False) -> None:
+        """Replace what is stored, or append to it: stored entities (by id) and relations (by both ends) stay as they are, new
+        chunks replace stored ones. Without chunks theirs stay."""
+        if append:
+            old = self.entities.read()
+            entities = old.unionByName(entities.join(old.select("entity_id"), "entity_id", "left_anti"), allowMissingColumns=True)
+            old = self.relations.read()
+            relations = old.unionByName(relations.join(old.select("src_id", "tgt_id").distinct(), ["src_id", "tgt_id"], "left_anti"), allowMissingColumns=True)
+        self.entities.write(entities)
+        self.relations.write(relations)
+        if chunks is not None:
+            self.chunks.upsert(chunks) if append else self.chunks.write(chunks)
+
+
 class StatusStore(Store):
     def __init__(self, spark: SparkSession, root: str, workspace: str = "default") -> None:
         super().__init__(spark, root, "doc_status", "id string, status string, content_summary string, content_length bigint, file_path string, created_at timestamp, updated_at timestamp, track_id string, chunks_list array<string>, error_msg string, metadata map<string,string>", "id", workspace)
