@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.lists import cap
 from graphloom.functions.text import pair_key
 from graphloom.operators.extract import ordered
 from graphloom.schema import SEP, SOURCE_IDS_LIMIT, UNKNOWN
@@ -75,25 +74,39 @@ def standardize_entities(rows: DataFrame) -> DataFrame:
     return rows.withColumn("entity_id", F.coalesce(F.nullif("entity_id", F.lit("")), F.nullif("entity_name", F.lit("")))).where("entity_id is not null")
 
 
+def _newest_sources(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """(keys, source_id, n_sources): a key's sources in the order in which they are first met, the last limit of them. Repeats go
+    and what is over the limit is cut before anything is collected, so that a hub isn't one task's list."""
+    once = rows.groupBy(*keys, "source_id").agg(F.min(F.struct("age", "ts")).alias("first"))
+    counts = once.groupBy(*keys).agg(F.count("*").alias("n_sources"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("first"), F.desc("source_id"))
+    kept = once.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit)
+    lists = kept.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "source_id"))), lambda x: x["source_id"]), SEP).alias("source_id"))
+    return counts.join(lists, keys, "left").withColumn("source_id", F.coalesce("source_id", F.lit("")))
+
+
 def upsert_nodes(old: DataFrame, new: DataFrame, limit: int = SOURCE_IDS_LIMIT) -> DataFrame:
     """Nodes(entity_id, entity_type, description, source_id, ts) upserted: the most frequent type (of equal ones the smaller),
     descriptions each once by time and length, existing ones first, sources in order up to a limit, the newest kept."""
     rows = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
     counts = rows.groupBy("entity_id", "entity_type").agg(F.count("*").alias("n"))
     chosen = counts.groupBy("entity_id").agg(F.min(F.struct((-F.col("n")).alias("minus"), "entity_type"))["entity_type"].alias("entity_type"))
-    lists = rows.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("age", "ts", (-F.char_length("description")).alias("len"), "description"))).alias("d"), F.array_sort(F.collect_list(F.struct("age", "ts", "source_id"))).alias("s"))
-    descriptions = F.array_distinct(F.transform("d", lambda x: x["description"]))
-    sources = F.array_distinct(F.transform("s", lambda x: x["source_id"]))
-    return lists.select("entity_id", F.array_join(descriptions, SEP).alias("description"), F.array_join(cap(sources, limit), SEP).alias("source_id"), F.size(sources).cast("bigint").alias("n_sources")).join(chosen, "entity_id")
+    # each description once before they are collected
+    once = rows.groupBy("entity_id", "description").agg(F.min(F.struct("age", "ts", (-F.char_length("description")).alias("len"))).alias("first"))
+    told = once.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "description"))), lambda x: x["description"]), SEP).alias("description"))
+    both = told.join(_newest_sources(rows, ["entity_id"], limit), "entity_id").join(chosen, "entity_id")
+    return both.select("entity_id", "description", "source_id", "n_sources", "entity_type")
 
 
 def upsert_edges(old: DataFrame, new: DataFrame, limit: int = SOURCE_IDS_LIMIT) -> DataFrame:
-    """Undirected edges(src_id, tgt_id, weight, keywords, source_id, ts) upserted under the sorted pair: weights summed, keywords sorted."""
+    """Undirected edges(src_id, tgt_id, weight, keywords, source_id, ts) upserted under the sorted pair: weights summed, keywords sorted.
+    Edges without either end are dropped."""
     rows = old.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1)))
     keyed = rows.withColumns({"a": F.least("src_id", "tgt_id"), "b": F.greatest("src_id", "tgt_id")})
-    g = keyed.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("keywords", ","))))).alias("k"), F.array_sort(F.collect_list(F.struct("age", "ts", "source_id"))).alias("s"))
-    sources = F.array_distinct(F.transform("s", lambda x: x["source_id"]))
-    return g.select(F.col("a").alias("src_id"), F.col("b").alias("tgt_id"), pair_key(F.col("a"), F.col("b")).alias("edge_key"), "weight", F.array_join("k", ",").alias("keywords"), F.array_join(cap(sources, limit), SEP).alias("source_id"))
+    sums = keyed.groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    words = keyed.select("a", "b", F.explode_outer(F.split("keywords", ",")).alias("word")).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("word")), ",").alias("keywords"))
+    both = sums.join(words, ["a", "b"]).join(_newest_sources(keyed, ["a", "b"], limit), ["a", "b"])
+    return both.select(F.col("a").alias("src_id"), F.col("b").alias("tgt_id"), pair_key(F.col("a"), F.col("b")).alias("edge_key"), "weight", "keywords", "source_id")
 
 
 def missing_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
