@@ -36,7 +36,15 @@ def quotas(owners: DataFrame, most: int, least: int = 1) -> DataFrame:
     return rows.select("owner", "pos", F.col("base").cast("int").alias("base"), (F.col("base") + more).cast("int").alias("taken"))
 
 
-def weighted_polling(chunks: DataFrame, most: int, least: int = 1, salts: int = 64) -> DataFrame:
+def weighted_polling(owners: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """(owner, pos, i, chunk) picked from owners(owner, pos, chunks): each takes as many of its chunks, in order, as quotas() gives the
+    owners by their positions. For lists as retrieval has them; owners with many chunks: polling_by_size()."""
+    places = owners.select("owner", F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint").alias("size"), F.row_number().over(Window.orderBy("pos")).cast("bigint").alias("pos"))
+    picked = owners.select("owner", "chunks").join(quotas(places, most, least).where("taken > 0"), "owner")
+    return picked.select("owner", "pos", F.posexplode(F.expr("slice(chunks, 1, taken)")).alias("i", "chunk"))
+
+
+def polling_by_size(chunks: DataFrame, most: int, least: int = 1, salts: int = 64) -> DataFrame:
     """(owner, pos, i, chunk) picked from chunks(owner, chunk): owners stand by how many chunks they have and take as many as
     quotas() gives them, in the order of the chunks.
 

@@ -670,7 +670,7 @@ t AS (SELECT owner, pos, chunks[1:(least(size, quota) + greatest(0, least(spare,
 SELECT owner, pos, (unnest(range(len(taken))))::INT AS i, unnest(taken) AS chunk FROM t"""
 )
 def weighted_polling(spark: SparkSession, d: str) -> DataFrame:
-    return budget.weighted_polling(fx.table(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("chunk")), 12)
+    return budget.polling_by_size(fx.table(spark, d, "documents").select(F.col("source").alias("owner"), F.col("doc_id").alias("chunk")), 12)
 
 
 @query("SELECT row_number() OVER (ORDER BY count(*) DESC, min(doc_id))::VARCHAR AS reference_id, source AS file_path, count(*) AS n FROM documents GROUP BY source")
