@@ -19,8 +19,10 @@ def _wrapped(docs: DataFrame, *names: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_classifier.classify(_wrapped(docs, "doc_id", "text"), labels, keep=["row"])
-    return scored.where("predicted = 1").select("row.*")
+    # by place, so that no name clashes with a result's and a text goes to Python once
+    names = [c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)]
+    scored = quality_classifier.classify(docs.toDF(*names), labels, keep=names)
+    return scored.where("predicted = 1").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

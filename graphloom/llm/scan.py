@@ -19,18 +19,20 @@ def scan_text(df: DataFrame, text: str, fields: str | T.StructType, fn: TextFunc
     """The columns keep of df (all by default) and the fields that fn makes of each text, with no shuffle.
 
     A kept column that has the name of a field is left out: the field replaces it. fn sees null texts as null.
+    A kept text goes to Python once, as the column that it is.
     """
     ship(df.sparkSession)
     schema = T.StructType.fromDDL(fields) if isinstance(fields, str) else fields
     new = {f.name.lower() for f in schema}
     names = [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
-    source = df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("\x01text"))
-    out = T.StructType([*source.schema.fields[:-1], *schema.fields])
+    n, at = len(names), names.index(text) if text in names else len(names)
+    source = df.select(*[F.col(f"`{c}`") for c in names], *([F.col(f"`{text}`").alias("\x01text")] if at == n else []))
+    out = T.StructType([*source.schema.fields[:n], *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=out.names)
+            made = fn(batch.column(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *made], names=out.names)
 
     return source.mapInArrow(run, out)
 

@@ -62,3 +62,13 @@ def test_near_duplicates_equal_brute_force(spark):
     want = lowest_of_groups(rows, 5, 80)
     assert want != lowest_of_groups(rows, 4, 85)
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_a_text_goes_to_python_once(spark):
+    """What the quality stage sends to its classifier are the columns of documents, each once."""
+    d = "/root/testdata/sf0.001"
+    plan = corpus_pipeline.quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d)._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    sent = plan.children().head().schema()
+    assert sorted(sent.apply(i).dataType().simpleString() for i in range(sent.length())) == ["bigint", "bigint", "string", "string", "string"]
