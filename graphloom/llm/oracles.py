@@ -127,3 +127,11 @@ near AS (
 SELECT doc_id, path, own_license, similarity, coalesce(own_license, inherited) AS license,
   CASE WHEN own_license IS NOT NULL THEN CASE WHEN speaks THEN 'file' ELSE 'header' END WHEN inherited IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, licensed_by
 FROM files LEFT JOIN near USING (r)"""
+
+
+def op10_tree() -> str:
+    """op10 over paths of a tree with licence files."""
+    plain = "concat_ws('/', source, lang, doc_id::VARCHAR || '.txt')"
+    tree = "concat_ws('/', source, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE lang END, CASE WHEN doc_id % 5 = 0 THEN 'LICENSE.' || doc_id::VARCHAR ELSE doc_id::VARCHAR || '.txt' END)"
+    before, after = op10().split(plain)
+    return before + tree + after

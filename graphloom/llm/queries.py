@@ -64,9 +64,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("file_id", "doc_id")
 
 
+def document_tree_path() -> F.Column:
+    """Stands for a path in a tree with licence files: of ten ids one is a licence file of its source, one of its source and language."""
+    number = F.col("doc_id").cast("string")
+    folder = F.when(F.coalesce(F.col("doc_id") % 10, F.lit(1)) != 0, F.col("lang"))
+    return F.concat_ws("/", "source", folder, F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("LICENSE."), number)).otherwise(F.concat(number, F.lit(".txt"))))
+
+
+def op10_license_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan where licence files speak for their directories, which no path of document_path does."""
+    found = licenses.scan(table(spark, sf_dir, "documents").withColumn("path", document_tree_path()))
+    return found.withColumnRenamed("file_id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": oracles.op2(), "op3_ngram_join": oracles.op3(), "op4_quality_rules": oracles.op4(), "op7_decontamination": oracles.op7(), "op10_license_scan": oracles.op10()}
+    return {"op2_url_filter": oracles.op2(), "op3_ngram_join": oracles.op3(), "op4_quality_rules": oracles.op4(), "op7_decontamination": oracles.op7(), "op10_license_scan": oracles.op10(), "op10_license_tree": oracles.op10_tree()}

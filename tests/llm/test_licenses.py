@@ -2,7 +2,9 @@ import math
 import random
 import re
 
-from graphloom.llm import licenses
+import duckdb
+
+from graphloom.llm import licenses, oracles, queries
 
 from .helpers import empty
 
@@ -116,3 +118,24 @@ def test_anchors_lose_no_unit():
             assert math.sqrt(sum(w.idf[x] ** 2 for x in rest)) / length < licenses.THRESHOLD - 1e-6
         gate = re.compile(w.gate())
         assert all(gate.search(f"x {a}, y") and not (a.isalpha() and gate.search(f"z{a}z")) for a in w.anchors)
+
+
+def test_licence_files_speak_for_documents(spark, tmp_path):
+    """The registered query inherits from the nearest of two levels and by votes, and equals its SQL."""
+    mit, by, isc = "Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under the ISC license."
+    rows = [(10, mit, "en", "a"), (20, mit, "fr", "a"), (30, by, "en", "a"), (5, isc, "fr", "a"), (1, "words", "en", "a"), (2, "words", "fr", "a"), (3, by, "fr", "a"), (4, None, None, "a"), (6, "words", "en", "b"), (15, "words", "en", "a"), (None, "words", "en", "a"), (7, "x", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_license_tree(spark, str(tmp_path))
+    found = {r.doc_id: (r.license, r.origin, r.licensed_by) for r in got.collect()}
+    assert found == {
+        10: ("MIT", "file", None), 20: ("MIT", "file", None), 30: ("CC-BY-4.0", "file", None), 5: ("ISC", "file", None), 1: ("MIT", "inherited", "a"), 2: ("ISC", "inherited", "a/fr"), 3: ("CC-BY-4.0", "header", None),
+        4: ("MIT", "inherited", "a"), 6: (None, "none", None), 15: ("MIT", "inherited", "a"), None: ("MIT", "inherited", "a"), 7: (None, "none", None),
+    }
+    for tables, files in ((str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{files}'")
+        want = con.execute(oracles.op10_tree())
+        got = queries.op10_license_tree(spark, tables)
+        assert got.columns == [c[0] for c in want.description]
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+        assert got.where("origin = 'inherited'").count() > 0
