@@ -15,6 +15,8 @@ from graphloom.schema import COSINE_THRESHOLD
 from graphloom.shipping import ship
 
 CHUNK = 2048
+#: Numbers in the vectors of a piece of a block (8 MB), and in a table of scores (16 MB).
+PIECE, TILE = 1 << 20, 1 << 21
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | None = COSINE_THRESHOLD, digits: int = 4) -> DataFrame:
@@ -28,39 +30,71 @@ def top_k(vectors: DataFrame, query: list[float], k: int, threshold: float | Non
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint"))
 
 
-def _cell(k: int, digits: int):
-    """Best k of one chunk of a block for each row of another."""
+def pieces_of_blocks(vectors: DataFrame) -> DataFrame:
+    """vectors(id, block, embedding) twice, as side 0 and 1, dealt over cells(block, i, j) in which each two rows of a block meet once.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"src": [], "tgt": [], "score": []})
-        unit = lambda x: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack([np.asarray(v, np.float64) for v in x]))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        score = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, digits)
-        score[a[:, None] == b[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(b, score.shape), -score))[:, :k]
-        rows = np.repeat(np.arange(len(a)), order.shape[1])
-        out = pd.DataFrame({"src": a[rows], "tgt": b[order.ravel()], "score": score[rows, order.ravel()]})
-        return out[np.isfinite(out["score"])]
-
-    return run
+    A piece of a block is as many rows as PIECE numbers hold, so that a cell is bounded, however large a block is. A row is copied once for
+    each piece of its block, on each side: with the size of a piece, not of what is multiplied at once."""
+    sized = vectors.groupBy("block").agg(F.greatest(F.ceil(F.count("*") * F.max(F.size("embedding")) / PIECE), F.lit(1)).cast("int").alias("pieces"))
+    dealt = vectors.join(sized, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("pieces") - 1)
+    left = dealt.select("id", "block", "embedding", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(others).alias("j"))
+    right = dealt.select("id", "block", "embedding", F.lit(1).alias("side"), F.explode(others).alias("i"), F.col("own").alias("j"))
+    return left.union(right.select(*left.columns))
+
+
+def unit_rows(embeddings: pd.Series) -> np.ndarray:
+    m = np.stack([np.asarray(v, np.float64) for v in embeddings])
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def best_of_cell(pdf: pd.DataFrame, k: int, chunk: int, digits: int = 4, earlier: bool = False) -> pd.DataFrame:
+    """(src, tgt, score): for each row of side 0 its k best of side 1 by rounded cosine, of equal ones the smaller id; earlier: of smaller ids only.
+
+    At most chunk rows are multiplied at once, fewer where side 1 is long. Score and place of an id make one number, so that
+    the best are picked, not sorted."""
+    left, right = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
+    none = pd.DataFrame({"src": pdf["id"][:0], "tgt": pdf["id"][:0], "score": np.empty(0)})
+    if not len(left) or not len(right):
+        return none
+    a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    x, y = unit_rows(left["embedding"]), unit_rows(right["embedding"]).T.copy()
+    low, high, scale = np.searchsorted(b, a, "left"), np.searchsorted(b, a, "right"), 10.0**digits
+    width, step, found = len(b), max(1, min(chunk, TILE // len(b))), [none]
+    place = np.arange(width - 1, -1, -1, dtype=np.float64)
+    for at in range(0, len(a), step):
+        to = min(at + step, len(a))
+        n = int(low[to - 1]) if earlier else width
+        if not n:
+            continue
+        key = x[at:to] @ y[:, :n]
+        key *= scale
+        np.rint(key, out=key)
+        np.nan_to_num(key, copy=False, nan=-np.inf)
+        key *= width
+        key += place[:n]
+        if earlier:
+            key[np.arange(n)[None, :] >= low[at:to, None]] = -np.inf
+        else:
+            same = high[at:to] - low[at:to]
+            rows = np.repeat(np.arange(to - at), same)
+            key[rows, np.arange(same.sum()) - np.repeat(np.cumsum(same) - same, same) + np.repeat(low[at:to], same)] = -np.inf
+        best = np.argmax(key, axis=1)[:, None] if k == 1 else np.argpartition(key, n - k, axis=1)[:, n - k :] if k < n else np.broadcast_to(np.arange(n), key.shape)
+        value = np.take_along_axis(key, best, axis=1)
+        rows, cols = np.nonzero(np.isfinite(value))
+        picked = best[rows, cols]
+        found.append(pd.DataFrame({"src": a[at + rows], "tgt": b[picked], "score": np.rint((value[rows, cols] - place[picked]) / width) / scale}))
+    return pd.concat(found[1:] or found, ignore_index=True)
 
 
 def nearest_in_block(vectors: DataFrame, k: int = 5, chunk: int = CHUNK, digits: int = 4) -> DataFrame:
     """(src, tgt, score, rank): for each row the k nearest others of its block, exactly.
 
-    A block is dealt into chunks; each pair of chunks is one task with a matrix product, and only k rows of it per vector go
-    on. So a task holds two chunks, however large a block is; its pairs are never rows."""
+    A block is dealt into pieces; each two pieces are one task with products of chunk rows, and only k rows of it per vector go
+    on. So a task holds two pieces, however large a block is; its pairs are never rows."""
     ship(vectors.sparkSession)
-    sized = vectors.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    dealt = vectors.join(sized, "block").withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("chunks") - 1)
-    left = dealt.select("id", "block", "embedding", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(others).alias("j"))
-    right = dealt.select("id", "block", "embedding", F.lit(1).alias("side"), F.explode(others).alias("i"), F.col("own").alias("j"))
     kind = vectors.schema["id"].dataType.simpleString()
-    run = _cell(k, digits)
-    cells = left.union(right.select("id", "block", "embedding", "side", "i", "j")).groupBy("block", "i", "j").applyInPandas(lambda pdf: run(pdf), f"src {kind}, tgt {kind}, score double")
+    cells = pieces_of_blocks(vectors).groupBy("block", "i", "j").applyInPandas(lambda pdf: best_of_cell(pdf, k, chunk, digits), f"src {kind}, tgt {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("score"), "tgt")).cast("bigint")
     return cells.withColumn("rank", rank).where(F.col("rank") <= k)
 

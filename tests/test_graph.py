@@ -71,3 +71,29 @@ def test_stream_upserts(spark, tmp_path):
     (source / "2.json").write_text('{"id": 2, "v": "c"}\n{"id": 3, "v": "d"}\n')
     run()
     assert sorted((r.id, r.v) for r in append.read_table(spark, table).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_rows_of_a_block_meet_without_a_copy_for_each_chunk(spark):
+    """A row is copied once for each piece of its block, whatever is multiplied at once; pieces are bounded."""
+    vecs = spark.range(3000).select("id", F.lit("b").alias("block"), F.array_repeat(F.lit(1.0).cast("float"), 4).alias("embedding"))
+    assert vector.pieces_of_blocks(vecs).count() == 6000
+    wide = vecs.withColumn("embedding", F.array_repeat(F.lit(1.0).cast("float"), 1000))
+    sides = {(r.side, r.i, r.j): r["count"] for r in vector.pieces_of_blocks(wide).groupBy("side", "i", "j").count().collect()}
+    assert len(sides) == 18 and max(sides.values()) * 1000 < 1.2 * vector.PIECE
+
+
+def test_best_rows_of_a_block_against_all_pairs(spark, monkeypatch):
+    g = random.Random(2)
+    rows = [(i * 3, g.choice("ab"), g.choice([[1.0, 0.0], [0.0, 0.0], [g.gauss(0, 1), g.gauss(0, 1)], [float("nan"), 1.0]])) for i in range(160)] + [(480, None, [1.0, 0.0])]
+    unit = {i: None if v != v else [x / max(sum(y * y for y in v) ** 0.5, 1e-300) for x in v] for i, _, v in rows if v[0] == v[0]}
+    score = lambda a, b: round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 4)
+    blocks = {i: b for i, b, _ in rows if b and i in unit}
+    ranked = lambda i, some: sorted((-score(i, j), j) for j in some if blocks[j] == blocks[i])
+    near = {(i, j, -s, r + 1) for i in blocks for r, (s, j) in enumerate(ranked(i, blocks.keys() - {i})[:4])}
+    first = {(i, r[0][1], -r[0][0]) for i in blocks if (r := ranked(i, [j for j in blocks if j < i]))}
+    for piece in (vector.PIECE, 60):
+        monkeypatch.setattr(vector, "PIECE", piece)
+        vecs = spark.createDataFrame(rows, "id long, block string, embedding array<float>")
+        got = vector.nearest_in_block(vecs, 4, chunk=7).collect()
+        assert {(r.src, r.tgt, r.score, r["rank"]) for r in got} == near and len(got) == len(near)
+        assert {tuple(r) for r in align.best_earlier(vecs, None, chunk=7).collect()} == first
