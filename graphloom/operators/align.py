@@ -7,39 +7,18 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import base_name, is_problem_type, problem_id
 from graphloom.operators.graph import roots
-from graphloom.operators.vector import CHUNK
+from graphloom.operators.vector import CHUNK, best_of_cell, pieces_of_blocks
 from graphloom.shipping import ship
 
 
 def best_earlier(vectors: DataFrame, threshold: float | None, chunk: int = CHUNK, strict: bool = True) -> DataFrame:
     """(node, parent, score): for each row(id, block, embedding) the most similar row of its block with a smaller id.
 
-    Chunk pairs as in the nearest-neighbour search; chunks are ranges of ids, and a pair that no earlier row can come from is skipped."""
+    Pieces as in the nearest-neighbour search; of a product only the columns that hold an earlier row are made."""
     ship(vectors.sparkSession)
-    pos = Window.partitionBy("block").orderBy("id")
-    rows = vectors.withColumn("own", F.floor((F.row_number().over(pos) - 1) / chunk).cast("int"))
-    last = rows.groupBy("block").agg(F.max("own").alias("last"))
-    placed = rows.join(last, "block")
-    later = placed.select("id", "block", "embedding", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("j"))
-    earlier = placed.select("id", "block", "embedding", F.lit(1).alias("side"), F.explode(F.sequence("own", "last")).alias("i"), F.col("own").alias("j"))
     kind = vectors.schema["id"].dataType.simpleString()
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": [], "parent": [], "score": []})
-        unit = lambda x: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack([np.asarray(v, np.float64) for v in x]))
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        score = np.round(unit(left["embedding"]) @ unit(right["embedding"]).T, 4)
-        score[b[None, :] >= a[:, None]] = -np.inf
-        best = np.lexsort((np.broadcast_to(b, score.shape), -score))[:, 0]
-        out = pd.DataFrame({"node": a, "parent": b[best], "score": score[np.arange(len(a)), best]})
-        return out[np.isfinite(out["score"])]
-
-    cells = later.union(earlier).groupBy("block", "i", "j").applyInPandas(run, f"node {kind}, parent {kind}, score double")
+    found = pieces_of_blocks(vectors).groupBy("block", "i", "j").applyInPandas(lambda pdf: best_of_cell(pdf, 1, chunk, earlier=True), f"src {kind}, tgt {kind}, score double")
+    cells = found.toDF("node", "parent", "score")
     one = cells.groupBy("node").agg(F.min(F.struct((-F.col("score")).alias("minus"), "parent")).alias("b"))
     out = one.select("node", F.col("b.parent").alias("parent"), (-F.col("b.minus")).alias("score"))
     if threshold is None:
