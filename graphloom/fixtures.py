@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.schema import FIELD
+from graphloom.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -99,7 +100,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, pos, file_path, chunk_id, response): for each supplier a document; for each of its parts
     a chunk whose response names the part, the supplier and how they relate."""
     t = lambda n: table(spark, sf_dir, n)
-    pairs = t("lineitem").select("l_suppkey", "l_partkey").distinct()
+    # dealt by part before repeats go and parts are joined: one shuffle for both, and a pair grows to a text behind it
+    pairs = spread(t("lineitem").select("l_suppkey", "l_partkey"), "l_partkey").distinct()
     rows = pairs.join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     field = lambda *parts: F.concat_ws(FIELD, *parts)
     doc, part = F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")

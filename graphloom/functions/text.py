@@ -184,8 +184,8 @@ def _damaged_markers() -> str:
     )
     whole = [sides[left][0] + cores[middle] + sides[right][1] for left, middle, right in found]
     without_core = [f"<{bar}+>", f"<{bar}{{2}}(?!{bar}*(?:>|{core}))"]
-    # a bar that follows a closed marker belongs to it
-    return f"(?:{'|'.join(whole + without_core)})(?:(?<=>){bar})?"
+    # all begin with a bracket or a bar: one look tells most characters apart; a bar that follows a closed marker belongs to it
+    return f"(?=[<{bar}])(?:{'|'.join(whole + without_core)})(?:(?<=>){bar})?"
 
 
 DAMAGED = _damaged_markers()

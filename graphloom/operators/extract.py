@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -63,30 +65,36 @@ def flatten_json(text: Column) -> Column:
 
 
 def _bodies(response: Column, kind: str) -> Column:
-    """Bodies of the records of a kind: up to the next record on a new line, or the end."""
+    """Bodies of the records of a kind: up to the next record on a new line, or the end (or the line end that ends the text)."""
     mark = FIELD.replace("|", r"\|")
-    return F.regexp_extract_all(response, F.lit(rf"(?s){kind}{mark}(.*?)(?=\n(?:entity|relation){mark}|$)"), F.lit(1))
+    ends = ("\n", "\r", "\x85", "\u2028", "\u2029")
+    ended = reduce(or_, [response.endswith(e) for e in ends])
+    text = F.when(ended, F.regexp_replace(response, r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])\z", "")).otherwise(response)
+    # by lines: a look-ahead at each character takes three times as long
+    return F.regexp_extract_all(text, F.lit(rf"{kind}{mark}([^\n]*(?:\n(?!(?:entity|relation){mark})[^\n]*)*+)"), F.lit(1))
 
 
-def _records(rows: DataFrame, kind: str) -> DataFrame:
+def _records(rows: DataFrame, kind: str, fields: int) -> DataFrame:
+    """Bodies of at least so many fields. No array of fields is made: an expression over one would be computed for each use."""
     each = rows.select("doc_id", "pos", "file_path", "chunk_id", F.posexplode(_bodies(F.col("response"), kind)).alias("ord", "body"))
-    parts = F.transform(F.split("body", r"<\|#\|>"), lambda x: F.trim(x))
-    return each.select("doc_id", "pos", "ord", "file_path", "chunk_id", parts.alias("parts"))
+    return each.where(F.substring_index("body", FIELD, fields - 1) != F.col("body"))
+
+
+def _field(n: int) -> Column:
+    """The n-th field of a body, from 1; empty where there is none."""
+    return F.trim(F.split_part("body", F.lit(FIELD), F.lit(n)))
 
 
 def entities(rows: DataFrame) -> DataFrame:
     """Entities of responses(doc_id, pos, file_path, chunk_id, response); records of fewer than four fields are dropped."""
-    return _records(rows, "entity").where("size(parts) >= 4").select(
-        "doc_id", "pos", "ord", "file_path", "chunk_id", F.col("parts")[0].alias("name"), F.col("parts")[1].alias("dim1"), F.col("parts")[2].alias("dim2"), without_complete(F.col("parts")[3]).alias("description")
-    )
+    return _records(rows, "entity", 4).select("doc_id", "pos", "ord", "file_path", "chunk_id", _field(1).alias("name"), _field(2).alias("dim1"), _field(3).alias("dim2"), without_complete(_field(4)).alias("description"))
 
 
 def relations(rows: DataFrame) -> DataFrame:
     """Relations of responses; records of fewer than three fields are dropped."""
-    p = F.col("parts")
-    return _records(rows, "relation").where("size(parts) >= 3").select(
-        "doc_id", "pos", "ord", "file_path", "chunk_id", p[0].alias("src_name"), p[1].alias("tgt_name"), p[2].alias("keywords"),
-        without_complete(F.coalesce(F.get(p, F.lit(3)), F.lit(""))).alias("description"), F.lit(1.0).alias("weight"),
+    return _records(rows, "relation", 3).select(
+        "doc_id", "pos", "ord", "file_path", "chunk_id", _field(1).alias("src_name"), _field(2).alias("tgt_name"), _field(3).alias("keywords"),
+        without_complete(_field(4)).alias("description"), F.lit(1.0).alias("weight"),
     )
 
 
