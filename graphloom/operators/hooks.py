@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,8 +56,10 @@ def call_with_cache(rows: DataFrame, prompt: str, cache: DataFrame, model: Model
 def glean(first: DataFrame, second: DataFrame) -> DataFrame:
     """Entities(chunk_id, name, dim1, dim2, description) of two extractions: of each name in a chunk the version with the longer description, the first of equally long ones."""
     rows = first.withColumn("round", F.lit(0)).unionByName(second.withColumn("round", F.lit(1)))
-    best = F.max_by(F.struct("dim1", "dim2", "description", "round"), F.struct(F.char_length("description"), -F.col("round")))
-    return rows.groupBy("chunk_id", "name").agg(best.alias("b")).select("chunk_id", "name", "b.dim1", "b.dim2", "b.description", F.col("b.round").cast("bigint").alias("round"))
+    # dealt first, so that rows are sorted once, and by a number before the names; an aggregate of texts sorts before and after it deals
+    first = Window.partitionBy("\x01key", "chunk_id", "name").orderBy(F.desc(F.char_length("description")), "round")
+    dealt = rows.select(F.xxhash64("chunk_id", "name").alias("\x01key"), "chunk_id", "name", "dim1", "dim2", "description", "round").repartition("\x01key", "chunk_id", "name")
+    return dealt.withColumn("\x01n", F.row_number().over(first)).where("`\x01n` = 1").select("chunk_id", "name", "dim1", "dim2", "description", F.col("round").cast("bigint").alias("round"))
 
 
 def summarize(rows: DataFrame, key: str, description: str, order: str, model: Model | None = None, most: int = 4, max_tokens: int = 12_000) -> DataFrame:

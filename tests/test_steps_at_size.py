@@ -20,3 +20,15 @@ def test_rows_are_spread_over_tasks(spark, sf_dir):
     assert sorted(r.id for r in rows.collect()) == list(range(1000))
     # not joined again by Spark, and no second shuffle for repeats
     assert plan_of(fx.responses(spark, sf_dir)).count("REPARTITION_BY_NUM") == 1 and plan_of(fx.responses(spark, sf_dir)).count("Exchange hashpartitioning") == 1
+
+
+def test_gleaned_versions(spark):
+    g = random.Random(7)
+    some = lambda: {(f"c{g.randrange(9)}", g.choice("ab")): g.choice(["", "x", "yy", "zz", None]) for _ in range(14)}
+    first, second = some(), some()
+    df = lambda d, t: spark.createDataFrame([(c, n, t, "k", v) for (c, n), v in d.items()], "chunk_id string, name string, dim1 string, dim2 string, description string")
+    size = lambda v: -1 if v is None else len(v)
+    want = {k: 1 if k not in first or k in second and size(second[k]) > size(first[k]) else 0 for k in first | second}
+    got = hooks.glean(df(first, "one"), df(second, "two"))
+    assert {(r.chunk_id, r.name): (r.dim1, r.description, r.round) for r in got.collect()} == {k: (("one", "two")[r], (first, second)[r][k], r) for k, r in want.items()}
+    assert "SortAggregate" not in plan_of(got) and plan_of(got).count("Exchange") == 1
