@@ -160,13 +160,14 @@ def resolve_relations(rels: DataFrame, ents: DataFrame) -> tuple[DataFrame, Data
     relations between one pair the first stays."""
     known = ents.select("file_path", "name").distinct()
     some = known.select("file_path").distinct()
-    usable = rels.where("src_name <> '' and tgt_name <> ''").join(some, "file_path", "left_semi")
-    ends = usable.select("file_path", "pos", "ord", "chunk_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("src_name").alias("name")), F.struct(F.lit(1).alias("side"), F.col("tgt_name").alias("name")))).alias("e"))
-    missing = ends.select("file_path", "pos", "ord", "chunk_id", "e.side", "e.name").join(known, ["file_path", "name"], "left_anti")
-    inferred = missing.groupBy("file_path", "name").agg(F.min_by("chunk_id", F.struct("pos", "ord", "side")).alias("source_id"))
+    named = rels.where("src_name <> '' and tgt_name <> ''")
+    ends = named.select("file_path", "pos", "ord", "chunk_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("src_name").alias("name")), F.struct(F.lit(1).alias("side"), F.col("tgt_name").alias("name")))).alias("e"))
+    # once for each name before they meet the known ones, which then go by the same keys
+    once = ends.select("file_path", "pos", "ord", "chunk_id", "e.side", "e.name").groupBy("file_path", "name").agg(F.min_by("chunk_id", F.struct("pos", "ord", "side")).alias("source_id"))
+    inferred = once.join(known, ["file_path", "name"], "left_anti").join(some, "file_path", "left_semi")
     made = inferred.select("file_path", "name", F.lit(UNKNOWN).alias("dim1"), F.lit(UNKNOWN).alias("dim2"), F.lit("").alias("description"), "source_id", F.lit("inferred").alias("data_source"))
     everything = ents.select("file_path", "name", "dim1", "dim2", "description", "source_id", F.lit("extracted").alias("data_source")).union(made)
     with_ids = everything.withColumn("entity_id", suffixed_id(F.col("name"), F.col("file_path")))
     # the id is a function of file and name, so that no join is needed to rewrite the ends
-    linked = usable.select("file_path", "pos", "ord", "chunk_id", suffixed_id(F.col("src_name"), F.col("file_path")).alias("src_id"), suffixed_id(F.col("tgt_name"), F.col("file_path")).alias("tgt_id"), "keywords", "description")
+    linked = named.join(some, "file_path", "left_semi").select("file_path", "pos", "ord", "chunk_id", suffixed_id(F.col("src_name"), F.col("file_path")).alias("src_id"), suffixed_id(F.col("tgt_name"), F.col("file_path")).alias("tgt_id"), "keywords", "description")
     return with_ids, keep_first(linked, ["src_id", "tgt_id"], ["pos", "ord"])

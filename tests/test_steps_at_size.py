@@ -32,3 +32,13 @@ def test_gleaned_versions(spark):
     got = hooks.glean(df(first, "one"), df(second, "two"))
     assert {(r.chunk_id, r.name): (r.dim1, r.description, r.round) for r in got.collect()} == {k: (("one", "two")[r], (first, second)[r][k], r) for k, r in want.items()}
     assert "SortAggregate" not in plan_of(got) and plan_of(got).count("Exchange") == 1
+
+
+def test_inferred_ends_are_grouped_before_they_meet_known_names(spark):
+    rels = spark.createDataFrame([("f", 1, 0, "c1", "a", "z", "k", "d"), ("f", 0, 0, "c0", "z", "a", "k", "d"), ("g", 0, 0, "c9", "a", "z", "k", "d")], "file_path string, pos int, ord int, chunk_id string, src_name string, tgt_name string, keywords string, description string")
+    ents = spark.createDataFrame([("f", "a", "t", "u", "d", "c1")], "file_path string, name string, dim1 string, dim2 string, description string, source_id string")
+    made, linked = extract.resolve_relations(rels, ents)
+    inferred = made.where("data_source = 'inferred'")
+    assert [(r.file_path, r.name, r.source_id) for r in inferred.collect()] == [("f", "z", "c0")] and linked.count() == 2
+    plan = plan_of(inferred)
+    assert plan.index("LeftAnti") < plan.index("min_by")
