@@ -126,7 +126,7 @@ def library_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ordered(column: str, *by: str) -> Column:
     """The values of a column within a group in the order of by."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(*by, column))), lambda s: s[column])
+    return F.transform(F.sort_array(F.collect_list(F.struct(*by, column))), lambda s: s[column])
 
 
 def union_of_lists(lists: Column) -> Column:
@@ -137,15 +137,17 @@ def union_of_lists(lists: Column) -> Column:
 
 def append_unless_contained(descriptions: Column) -> Column:
     """Descriptions joined by the separator; one that what is there already contains as a substring is left out."""
-    return F.aggregate(descriptions, F.lit(""), lambda s, d: F.when((d == "") | s.contains(d), s).when(s == "", d).otherwise(F.concat(s, F.lit(SEP), d)))
+    return F.aggregate(F.array_distinct(descriptions), F.lit(""), lambda s, d: F.when((d == "") | s.contains(d), s).when(s == "", d).otherwise(F.concat(s, F.lit(SEP), d)))
 
 
 def merge_same_names(rows: DataFrame, *scope: str) -> DataFrame:
     """Entities of one name within a scope (chunk_id, or file_path) as one: types as a union, descriptions appended in order, sources each once."""
-    order = ("pos", "ord")
-    grouped = rows.where("name is not null and name <> ''").groupBy(*scope, "name")
-    lists = grouped.agg(ordered("dim1", *order).alias("d1"), ordered("dim2", *order).alias("d2"), ordered("description", *order).alias("d"), ordered("chunk_id", *order).alias("s"))
-    return lists.select(*scope, "name", union_of_lists(F.col("d1")).alias("dim1"), union_of_lists(F.col("d2")).alias("dim2"), append_unless_contained(F.col("d")).alias("description"), F.array_join(F.array_distinct("s"), SEP).alias("source_id"))
+    named = rows.where("name is not null and name <> ''")
+    # one list of whole rows: a list for each column is sorted and sent along once more
+    lists = named.withColumn("\x01chunk", F.col("chunk_id")).groupBy(*scope, "name").agg(F.collect_list(F.struct("pos", "ord", "description", F.col("\x01chunk").alias("chunk"), "dim1", "dim2")).alias("rows"))
+    of = lambda c: F.transform("rows", lambda r: r[c])
+    in_order = lambda c: F.transform(F.sort_array(F.transform("rows", lambda r: F.struct(r["pos"].alias("pos"), r["ord"].alias("ord"), r[c].alias("v")))), lambda r: r["v"])
+    return lists.select(*scope, "name", union_of_lists(of("dim1")).alias("dim1"), union_of_lists(of("dim2")).alias("dim2"), append_unless_contained(in_order("description")).alias("description"), F.array_join(F.array_distinct(in_order("chunk")), SEP).alias("source_id"))
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -34,6 +34,14 @@ def test_gleaned_versions(spark):
     assert "SortAggregate" not in plan_of(got) and plan_of(got).count("Exchange") == 1
 
 
+def test_names_are_merged_from_one_list(spark):
+    rows = spark.createDataFrame([("f", 2, 0, "c2", "n", "b,a", "x", "one"), ("f", 1, 0, "c1", "n", None, "y", "two"), ("f", 1, 1, "c1", "n", "c", "x", "one"), ("f", 3, 0, "c2", "n", "a", None, "on")], "file_path string, pos int, ord int, chunk_id string, name string, dim1 string, dim2 string, description string")
+    got = extract.merge_same_names(rows, "file_path")
+    assert tuple(got.first()) == ("f", "n", "a,b,c", "x,y", "two<SEP>one", "c1<SEP>c2") and plan_of(got).count("partial_collect_list") == 1
+    alone = extract.merge_same_names(rows, "chunk_id").collect()
+    assert {(r.chunk_id, r.description, r.source_id) for r in alone} == {("c1", "two<SEP>one", "c1"), ("c2", "one", "c2")}
+
+
 def test_inferred_ends_are_grouped_before_they_meet_known_names(spark):
     rels = spark.createDataFrame([("f", 1, 0, "c1", "a", "z", "k", "d"), ("f", 0, 0, "c0", "z", "a", "k", "d"), ("g", 0, 0, "c9", "a", "z", "k", "d")], "file_path string, pos int, ord int, chunk_id string, src_name string, tgt_name string, keywords string, description string")
     ents = spark.createDataFrame([("f", "a", "t", "u", "d", "c1")], "file_path string, name string, dim1 string, dim2 string, description string, source_id string")
