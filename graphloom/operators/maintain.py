@@ -64,8 +64,13 @@ def rename(nodes: DataFrame, edges: DataFrame, old: str, new: str) -> tuple[Data
 
 def lineage(records: DataFrame, chunks: DataFrame) -> DataFrame:
     """(doc_id, names, n): what names records(key, chunk_ids) have in each document of chunks(chunk_id, doc_id)."""
-    each = records.select("key", F.explode("chunk_ids").alias("chunk_id")).join(chunks, "chunk_id")
-    return each.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("doc_id", F.array_join("keys", ",").alias("names"), F.size("keys").cast("bigint").alias("n"))
+    return lineage_of(records.select("key", F.explode("chunk_ids").alias("chunk_id")), chunks)
+
+
+def lineage_of(named: DataFrame, chunks: DataFrame) -> DataFrame:
+    """lineage() of rows named(key, chunk_id), where a key's chunks are too many to be gathered."""
+    each = named.join(chunks, "chunk_id").select("doc_id", "key").distinct()
+    return each.groupBy("doc_id").agg(F.sort_array(F.collect_set("key")).alias("keys")).select("doc_id", F.array_join("keys", ",").alias("names"), F.size("keys").cast("bigint").alias("n"))
 
 
 def chunk_tracking(nodes: DataFrame, edges: DataFrame) -> DataFrame:

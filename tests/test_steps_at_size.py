@@ -22,6 +22,20 @@ def test_rows_are_spread_over_tasks(spark, sf_dir):
     assert plan_of(fx.responses(spark, sf_dir)).count("REPARTITION_BY_NUM") == 1 and plan_of(fx.responses(spark, sf_dir)).count("Exchange hashpartitioning") == 1
 
 
+def named_of(spark, g):
+    named = [(g.choice("abcdef"), f"k{g.randrange(12)}") for _ in range(40)] + [("only", "k1")]
+    return named, spark.createDataFrame(named, "key string, chunk_id string")
+
+
+def test_lineage_of_rows(spark):
+    named, rows = named_of(spark, random.Random(5))
+    chunks = spark.createDataFrame([(f"k{i}", i % 4) for i in range(10)], "chunk_id string, doc_id int")
+    want = {d: sorted({k for k, c in named if int(c[1:]) < 10 and int(c[1:]) % 4 == d}) for d in range(4)}
+    got = maintain.lineage_of(rows, chunks).collect()
+    assert {r.doc_id: (r.names, r.n) for r in got} == {d: (",".join(v), len(v)) for d, v in want.items() if v}
+    assert sorted(map(tuple, got)) == sorted(map(tuple, maintain.lineage(rows.groupBy("key").agg(F.collect_set("chunk_id").alias("chunk_ids")), chunks).collect()))
+
+
 def test_gleaned_versions(spark):
     g = random.Random(7)
     some = lambda: {(f"c{g.randrange(9)}", g.choice("ab")): g.choice(["", "x", "yy", "zz", None]) for _ in range(14)}
