@@ -214,8 +214,8 @@ def entity_lineage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {fx.RAW_SQL}, kept AS (SELECT * FROM ent WHERE doc_id % 2 = 0), a AS (SELECT name, description, min(pos) AS f FROM kept GROUP BY 1, 2), b AS (SELECT name, chunk_id, min(pos) AS f FROM kept GROUP BY 1, 2) SELECT x.name, description, source_id FROM (SELECT name, string_agg(description, '{SEP}' ORDER BY f, description) AS description FROM a GROUP BY 1) x JOIN (SELECT name, string_agg(chunk_id, '{SEP}' ORDER BY f, chunk_id) AS source_id FROM b GROUP BY 1) y USING (name)")
 def rebuild_from_chunks(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.entities(fx.responses(spark, d))
-    return ingest.rebuild(rows, rows.where("doc_id % 2 = 0").select("chunk_id").distinct())
+    texts = fx.responses(spark, d)
+    return ingest.rebuild(extract.entities(texts), texts.where("doc_id % 2 = 0").select("chunk_id"))
 
 
 @query("SELECT CASE WHEN c_custkey % 4 = 0 THEN 'id ' || c_custkey ELSE c_name END AS entity_id, c_mktsegment AS dim1 FROM customer WHERE c_custkey % 4 = 0 OR c_custkey % 3 = 0")
