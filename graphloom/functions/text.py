@@ -157,8 +157,8 @@ def normalized_name(name: Column, inner_quotes: bool = False) -> Column:
         s = F.translate(s, "“”‘’", "")
         s = F.regexp_replace(s, rf"['\"]+(?=[{_CJK}])|(?<=[{_CJK}])['\"]+", "")
         s = F.regexp_replace(F.translate(s, " ", " "), r"(?<=[^\d])\x{202F}", " ")
-    s = F.trim(s)
-    return F.when(s.rlike(r"^[0-9]{1,2}$") | (s.rlike(r"^[0-9.]{1,5}$") & s.contains(".")), "").otherwise(s)
+    # as the element of an array the cleaned name is made once, not for each of its uses
+    return F.transform(F.array(F.trim(s)), lambda t: F.when(t.rlike(r"^[0-9]{1,2}$") | (t.rlike(r"^[0-9.]{1,5}$") & t.contains(".")), "").otherwise(t))[0]
 
 
 def _damaged_markers() -> str:

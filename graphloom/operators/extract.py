@@ -108,17 +108,23 @@ def library_records(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = F.regexp_replace(F.regexp_replace("response", f"{mark}entity{mark}", f"\nentity{FIELD}"), f"{mark}relation(?:ship)?{mark}", f"\nrelation{FIELD}")
     lines = split_markers(apart, "\n", COMPLETE, COMPLETE.lower())
     each = rows.select("doc_id", "pos", "file_path", "chunk_id", F.posexplode(lines).alias("ord", "line")).where(F.col("line").rlike("^(?:entity|relation)"))
-    fields = each.withColumn("raw", split_markers(mend_delimiters(F.col("line")), FIELD)).where("size(raw) in (4, 5)").withColumn("f", sanitized_fields(F.col("raw")))
+    # exploded arrays of one keep what filters look at from being made for each look
+    cut_up = each.select("doc_id", "pos", "ord", "file_path", "chunk_id", F.explode(F.array(split_markers(mend_delimiters(F.col("line")), FIELD))).alias("raw"))
+    fields = cut_up.where("size(raw) in (4, 5)").withColumn("f", sanitized_fields(F.col("raw")))
     f = F.col("f")
     keep = ["doc_id", "pos", "ord", "file_path", "chunk_id"]
     name = lambda k: normalized_name(f[k], inner_quotes=True)
-    entities = fields.where(F.col("raw")[0].contains("entity") & (F.size("raw") == 4)).select(*keep, name(1).alias("name"), name(2).alias("kind"), normalized_name(f[3]).alias("description"))
+    made = lambda *columns: F.explode(F.array(F.struct(*columns))).alias("made")
+    entities = fields.where(F.col("raw")[0].contains("entity") & (F.size("raw") == 4)).select(*keep, made(name(1).alias("name"), name(2).alias("kind"), normalized_name(f[3]).alias("description"))).select(*keep, "made.*")
     good = entities.where("name <> '' and trim(kind) <> '' and description <> ''").where(~F.col("kind").rlike(r"['()<>|/\\]"))
     number = F.translate(F.col("raw")[4], "\"'", "")
     relations = fields.where(F.col("raw")[0].contains("relation") & (F.size("raw") == 5)).select(
-        *keep, name(1).alias("src_name"), name(2).alias("tgt_name"), F.replace(name(3), F.lit("，"), F.lit(",")).alias("keywords"), normalized_name(f[4]).alias("description"),
-        F.when(is_float(number), number.cast("double")).otherwise(F.lit(1.0)).alias("weight"),
-    )
+        *keep,
+        made(
+            name(1).alias("src_name"), name(2).alias("tgt_name"), F.replace(name(3), F.lit("，"), F.lit(",")).alias("keywords"), normalized_name(f[4]).alias("description"),
+            F.when(is_float(number), number.cast("double")).otherwise(F.lit(1.0)).alias("weight"),
+        ),
+    ).select(*keep, "made.*")
     cut = lambda c: F.substring(c, 1, NAME_LIMIT).alias(c)
     linked = relations.where("src_name <> '' and tgt_name <> '' and src_name <> tgt_name")
     return good.select(*keep, cut("name"), F.lower(F.replace("kind", F.lit(" "), F.lit(""))).alias("kind"), "description"), linked.select(*keep, cut("src_name"), cut("tgt_name"), "keywords", "description", "weight")

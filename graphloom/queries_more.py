@@ -285,7 +285,8 @@ _LIBRARY = """lib AS (SELECT p_partkey AS pos, p_name, lower(replace(p_brand, '
 
 def _library_responses(spark: SparkSession, d: str) -> DataFrame:
     """A response for each part: an entity, for some a glued one of a bad type or of a fifth field, and a relation."""
-    p = fx.table(spark, d, "part")
+    # a row of a small file grows to a text that takes long to clean
+    p = tables.spread(fx.table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "p_partkey", each=50_000)
     key = F.col("p_partkey")
     field = lambda *parts: F.concat_ws(FIELD, *[F.lit(x) if isinstance(x, str) else x for x in parts])
     entity = field("entity", F.col("p_name"), F.col("p_brand"), F.concat(F.lit("size &lt; "), F.col("p_size").cast("string")))

@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphloom.functions import lists, text, vectors
+from graphloom.operators import extract
 from graphloom.operators.budget import pack
 
 
@@ -65,3 +68,29 @@ def test_damaged_markers(spark):
     rows = spark.createDataFrame([(f"a{x}b", True) for x in forms] + [(x, False) for x in whole] + [(None, False)], "s string, mended boolean")
     for r in rows.select("*", text.mend_delimiters(rows.s).alias("out")).collect():
         assert r.out == ("a<|#|>b" if r.mended else r.s), r
+
+
+def test_marked_bodies_are_those_of_a_search_by_characters(spark):
+    """Bodies by lines against a look-ahead at each character, and marks with and without a look at the first one."""
+    g = random.Random(3)
+    bits = ["entity<|#|>", "relation<|#|>", "\n", "\n", "\r", "\r\n", "\x85", "\u2028", "a", "b<|#|>c", " ", "<|", "|>", "#", "<#|>"]
+    texts = [(i, "".join(g.choice(bits) for _ in range(g.randrange(12)))) for i in range(3000)] + [(-1, None)]
+    df = spark.createDataFrame(texts, "i int, response string")
+    for kind in ("entity", "relation"):
+        whole = F.regexp_extract_all("response", F.lit(rf"(?s){kind}<\|#\|>(.*?)(?=\n(?:entity|relation)<\|#\|>|$)"), F.lit(1))
+        assert not df.where(~whole.eqNullSafe(extract._bodies(F.col("response"), kind))).count()
+    plain = text.DAMAGED.removeprefix(r"(?=[<\|])")
+    assert plain != text.DAMAGED
+    assert not df.where(~F.regexp_replace("response", plain, "<|#|>").eqNullSafe(text.mend_delimiters(F.col("response")))).count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fields_and_names_are_made_once(spark):
+    rows = spark.createDataFrame([(1, 2, "f", "c", "entity<|#|>a<|#|>b<|#|>c<|#|>d")], "doc_id int, pos int, file_path string, chunk_id string, response string")
+    assert "transform(split" not in plan_of(extract.entities(rows))
+    for df in extract.library_records(rows):
+        # a cleaned name closes with this pattern; entities have three, relations four
+        assert plan_of(df).count("^[0-9]{1,2}$") <= 4 and plan_of(df).count("<|#|>, 1), \\Q<|#|>\\E") <= 2
