@@ -9,6 +9,7 @@ from graphloom.functions.lists import subtract
 from graphloom.functions.text import hashed_id, pair_key, split_markers, summary
 from graphloom.operators.extract import keep_first, ordered
 from graphloom.schema import DOC_STATUSES, SEP
+from graphloom.sources.tables import materialized
 
 
 def enqueue(docs: DataFrame, existing: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -47,6 +48,15 @@ def deletion_impact(records: DataFrame, doc_chunks: DataFrame) -> DataFrame:
     return hit.select("key", F.array_join("left", ",").alias("remaining"), "left", F.when(F.size("left") == 0, "delete").otherwise("rebuild").alias("action"))
 
 
+def deletion_impact_of(named: DataFrame, doc_chunks: DataFrame) -> DataFrame:
+    """deletion_impact() of rows named(key, chunk_id), in one pass over them; chunks in order of their ids."""
+    gone = materialized(doc_chunks.select(F.col("chunk_id").alias("\x01gone")).distinct())
+    marked = named.join(gone, F.col("chunk_id") == F.col("\x01gone"), "left")
+    lists = marked.groupBy("key").agg(F.count("\x01gone").alias("hits"), F.collect_set(F.when(F.col("\x01gone").isNull(), F.col("chunk_id"))).alias("ids")).where("hits > 0")
+    both = lists.select("key", F.sort_array("ids").alias("left"))
+    return both.select("key", F.array_join("left", ",").alias("remaining"), "left", F.when(F.size("left") == 0, "delete").otherwise("rebuild").alias("action"))
+
+
 def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges without gone(entity_id) and whatever touches it."""
     ids = gone.select("entity_id")

@@ -36,6 +36,15 @@ def test_lineage_of_rows(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, maintain.lineage(rows.groupBy("key").agg(F.collect_set("chunk_id").alias("chunk_ids")), chunks).collect()))
 
 
+def test_impact_of_rows(spark):
+    named, rows = named_of(spark, random.Random(6))
+    gone = spark.createDataFrame([("k1",), ("k1",), ("k2",)], "chunk_id string")
+    hit = {k for k, c in named if c in ("k1", "k2")}
+    left = {k: sorted({c for x, c in named if x == k} - {"k1", "k2"}) for k in hit}
+    got = {r.key: (r.remaining, r.left, r.action) for r in maintain.deletion_impact_of(rows, gone).collect()}
+    assert got == {k: (",".join(v), v, "rebuild" if v else "delete") for k, v in left.items()} and got["only"] == ("", [], "delete")
+
+
 def test_gleaned_versions(spark):
     g = random.Random(7)
     some = lambda: {(f"c{g.randrange(9)}", g.choice("ab")): g.choice(["", "x", "yy", "zz", None]) for _ in range(14)}
