@@ -88,7 +88,9 @@ def chunk_tracking(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Records without any have no row; of a pair's edges all count, in the order of their ids."""
     named = nodes.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("key"), F.lit("").alias("edge_id"), "source_id")
     paired = edges.select(F.lit("relation").alias("kind"), pair_key(F.col("src_id"), F.col("tgt_id")).alias("key"), "edge_id", "source_id")
-    each = named.union(paired).select("kind", "key", "edge_id", F.posexplode(split_markers(F.col("source_id"), SEP)).alias("i", "chunk_id"))
+    # dealt by key once, before rows are multiplied; both groupings then need no other shuffle
+    dealt = named.union(paired).repartition("kind", "key")
+    each = dealt.select("kind", "key", "edge_id", F.posexplode(split_markers(F.col("source_id"), SEP)).alias("i", "chunk_id"))
     once = each.groupBy("kind", "key", "chunk_id").agg(F.min(F.struct("edge_id", "i")).alias("first"))
     lists = once.groupBy("kind", "key").agg(ordered("chunk_id", "first").alias("chunk_ids"))
     return lists.withColumn("n", F.size("chunk_ids").cast("bigint"))

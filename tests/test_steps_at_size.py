@@ -65,6 +65,14 @@ def test_names_are_merged_from_one_list(spark):
     assert {(r.chunk_id, r.description, r.source_id) for r in alone} == {("c1", "two<SEP>one", "c1"), ("c2", "one", "c2")}
 
 
+def test_chunks_are_tracked_behind_one_shuffle(spark):
+    nodes = spark.createDataFrame([("n", "k2<SEP> <SEP>k1<SEP>k2"), ("m", "")], "entity_id string, source_id string")
+    edges = spark.createDataFrame([("e2", "b", "a", "k1"), ("e1", "a", "b", "k3<SEP>k1")], "edge_id string, src_id string, tgt_id string, source_id string")
+    got = maintain.chunk_tracking(nodes, edges)
+    assert {(r.kind, r.key): (r.chunk_ids, r.n) for r in got.collect()} == {("entity", "n"): (["k2", "k1"], 2), ("relation", "a<SEP>b"): (["k3", "k1"], 2)}
+    assert plan_of(got).count("Exchange hashpartitioning") == 1
+
+
 def test_inferred_ends_are_grouped_before_they_meet_known_names(spark):
     rels = spark.createDataFrame([("f", 1, 0, "c1", "a", "z", "k", "d"), ("f", 0, 0, "c0", "z", "a", "k", "d"), ("g", 0, 0, "c9", "a", "z", "k", "d")], "file_path string, pos int, ord int, chunk_id string, src_name string, tgt_name string, keywords string, description string")
     ents = spark.createDataFrame([("f", "a", "t", "u", "d", "c1")], "file_path string, name string, dim1 string, dim2 string, description string, source_id string")
