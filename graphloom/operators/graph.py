@@ -67,9 +67,15 @@ def paths_up_to_two(edges: DataFrame, seed: str) -> DataFrame:
 
 def met_within_two(edges: DataFrame, first: str, second: str) -> DataFrame:
     """(node, distance_1, distance_2): nodes that paths of one or two edges from both seeds reach, without the seeds."""
-    a = paths_up_to_two(edges, first).select("node", F.col("distance").alias("distance_1"))
-    b = paths_up_to_two(edges, second).select("node", F.col("distance").alias("distance_2"))
-    return a.join(b, "node").where(~F.col("node").isin(first, second))
+    one = both_ways(edges).where(F.col("a").isin(first, second)).select(F.col("a").alias("seed"), F.col("edge_id").alias("e1"), F.col("b").alias("node"))
+    # written first, so that its size is known: a few neighbours go to the edges, not the edges to them; edges are made once for both seeds
+    one = materialized(one)
+    either = F.explode(F.array(F.struct(F.col("src_id").alias("a"), F.col("tgt_id").alias("b")), F.struct(F.col("tgt_id").alias("a"), F.col("src_id").alias("b"))))
+    sym = edges.select("edge_id", either.alias("x")).select("edge_id", "x.a", "x.b")
+    two = sym.join(one, F.col("a") == F.col("node")).where("e1 <> edge_id").select("seed", F.col("b").alias("node"), F.lit(2).alias("distance"))
+    met = materialized(one.select("seed", "node", F.lit(1).alias("distance")).union(two).distinct())
+    of = lambda seed, name: met.where(F.col("seed") == seed).select("node", F.col("distance").alias(name))
+    return of(first, "distance_1").join(of(second, "distance_2"), "node").where(~F.col("node").isin(first, second))
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -97,3 +97,16 @@ def test_best_rows_of_a_block_against_all_pairs(spark, monkeypatch):
         got = vector.nearest_in_block(vecs, 4, chunk=7).collect()
         assert {(r.src, r.tgt, r.score, r["rank"]) for r in got} == near and len(got) == len(near)
         assert {tuple(r) for r in align.best_earlier(vecs, None, chunk=7).collect()} == first
+
+
+def test_nodes_met_within_two_from_both_seeds(spark):
+    g = random.Random(4)
+    pairs = [(f"n{g.randrange(12)}", f"n{g.randrange(12)}") for _ in range(30)]
+    edges = edges_of(spark, pairs)
+    ways = [(f"e{i}", *p) for i, (a, b) in enumerate(pairs) for p in ((a, b), (b, a))]
+    reach = lambda s: {(b, 1) for _, a, b in ways if a == s} | {(y, 2) for e, a, b in ways if a == s for f, x, y in ways if x == b and f != e}
+    want = sorted((n, d1, d2) for n, d1 in reach("n1") for m, d2 in reach("n2") if n == m and n not in ("n1", "n2"))
+    got = graph.met_within_two(edges, "n1", "n2")
+    assert sorted(tuple(r) for r in got.collect()) == want
+    # the edges aren't shuffled for each seed and way: nothing of them is left in the last plan
+    assert "e0" not in got._jdf.queryExecution().executedPlan().toString() and "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
